@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import tokens
+from tidemark.llm import exact, idfiles, packing, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
+    "op2_packing": packing.op2_packing,
     "op7_bpe_round_trip": tokens.op7_bpe_round_trip,
+    "op9_id_files": idfiles.op9_id_files,
+    "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": exact.OP10_SQL}
