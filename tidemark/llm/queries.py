@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact, idfiles, packing, tokens
+from tidemark.llm import exact, idfiles, learning, packing, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op2_packing": packing.op2_packing,
+    "op3_toxicity": learning.op3_toxicity,
+    "op6_quality": learning.op6_quality,
     "op7_bpe_round_trip": tokens.op7_bpe_round_trip,
     "op9_id_files": idfiles.op9_id_files,
     "op10_exact_dedup": exact.op10_exact_dedup,
