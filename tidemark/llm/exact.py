@@ -38,6 +38,7 @@ class DigestIndex:
     def ingest(self, batch: DataFrame) -> None:
         """batch(digest, doc_id): copies within it are counted before the shuffle; the largest doc_id stays."""
         new = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        new = base.saved(new, "new")  # else the optimizer joins before it counts, and a hot digest's rows meet in one task
         fresh = new.join(self.rows().hint("merge"), "digest", "left_anti")
         fresh.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.name)
 
