@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact, idfiles, learning, packing, tokens
+from tidemark.llm import exact, idfiles, learning, near, packing, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": learning.op3_toxicity,
     "op6_quality": learning.op6_quality,
     "op7_bpe_round_trip": tokens.op7_bpe_round_trip,
+    "op8_minhash_forest": near.op8_minhash_forest,
     "op9_id_files": idfiles.op9_id_files,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
