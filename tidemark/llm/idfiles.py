@@ -25,6 +25,31 @@ _HEAD = np.dtype([("magic", "S4"), ("values", "<u8"), ("blocks", "<u4")])
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 
 
+def _cell(width: int) -> int:
+    """Bits of the machine integer that holds a width."""
+    return 16 if width <= 16 else 32
+
+
+def _bits(rows: np.ndarray, width: int) -> np.ndarray:
+    """The low bits of rows of values, most significant first, packed row by row."""
+    cell = _cell(width)
+    raw = rows.astype(f">u{cell // 8}").view(np.uint8)
+    if width == cell:
+        return raw
+    each = np.unpackbits(raw, axis=1).reshape(len(rows), BLOCK, cell)[:, :, cell - width :]
+    return np.packbits(each.reshape(len(rows), -1), axis=1)
+
+
+def _values(rows: np.ndarray, width: int) -> np.ndarray:
+    """What _bits() packed."""
+    cell = _cell(width)
+    if width != cell:
+        whole = np.zeros((len(rows), BLOCK, cell), np.uint8)
+        whole[:, :, cell - width :] = np.unpackbits(rows, axis=1).reshape(len(rows), BLOCK, width)
+        rows = np.packbits(whole.reshape(len(rows), -1), axis=1)
+    return np.ascontiguousarray(rows).view(f">u{cell // 8}")
+
+
 def packed(values: np.ndarray) -> bytes:
     """A stream of unsigned 32-bit integers as: head, start of each block, blocks.
 
@@ -44,15 +69,16 @@ def packed(values: np.ndarray) -> bytes:
     bits: list[bytes] = [b""] * n
     for w in np.unique(width):
         of = np.flatnonzero(width == w)
-        each = np.unpackbits(diff[of].astype(">u4").view(np.uint8).reshape(len(of), BLOCK, 4), axis=2)[:, :, 32 - int(w) :]
-        for i, line in zip(of.tolist(), np.packbits(each.reshape(len(of), -1), axis=1), strict=True):
-            bits[i] = line.tobytes()
+        lines, size = _bits(diff[of], int(w)).tobytes(), BLOCK * int(w) // 8
+        for k, i in enumerate(of.tolist()):
+            bits[i] = lines[k * size : (k + 1) * size]
     heads = np.zeros(n, _BLOCK_HEAD)
     heads["low"], heads["width"], heads["exceptions"] = low, width, np.count_nonzero(high, axis=1)
-    blocks = []
-    for i in range(n):
-        places = np.flatnonzero(high[i]) if heads["exceptions"][i] else np.empty(0, np.int64)
-        blocks.append(heads[i].tobytes() + bits[i] + places.astype(np.uint8).tobytes() + high[i, places].astype("<u4").tobytes())
+    of, places = np.nonzero(high)
+    places, rests, front = places.astype(np.uint8).tobytes(), high[of, places].astype("<u4").tobytes(), heads.tobytes()
+    ends, size, blocks = np.cumsum(heads["exceptions"], dtype=np.int64).tolist(), _BLOCK_HEAD.itemsize, []
+    for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+        blocks.append(front[size * i : size * i + size] + bits[i] + places[a:b] + rests[4 * a : 4 * b])
     starts = np.cumsum([0, *map(len, blocks)])[:-1].astype("<u8")
     return np.array((MAGIC, len(values), n), _HEAD).tobytes() + starts.tobytes() + b"".join(blocks)
 
@@ -74,14 +100,13 @@ def unpacked(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray
     for w in np.unique(heads["width"]):
         of = np.flatnonzero(heads["width"] == w)
         size = BLOCK * int(w) // 8
-        each = np.unpackbits(raw[(starts[of] + _BLOCK_HEAD.itemsize)[:, None] + np.arange(size)], axis=1).reshape(len(of), BLOCK, int(w))
-        whole = np.zeros((len(of), BLOCK, 32), np.uint8)
-        whole[:, :, 32 - int(w) :] = each
-        out[of] = np.packbits(whole, axis=2).view(">u4")[:, :, 0]
-    for i in np.flatnonzero(heads["exceptions"]).tolist():
-        m, w = int(heads["exceptions"][i]), int(heads["width"][i])
-        at = int(starts[i]) + _BLOCK_HEAD.itemsize + BLOCK * w // 8
-        out[i, raw[at : at + m]] |= np.frombuffer(data, "<u4", m, at + m).astype(np.uint32) << np.uint32(w)
+        out[of] = _values(raw[(starts[of] + _BLOCK_HEAD.itemsize)[:, None] + np.arange(size)], int(w))
+    count, width = heads["exceptions"].astype(np.int64), heads["width"].astype(np.int64)
+    row = np.repeat(np.arange(len(out)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = (starts + _BLOCK_HEAD.itemsize + BLOCK * width // 8)[row]
+    rest = np.ascontiguousarray(raw[(at + count[row] + 4 * nth)[:, None] + np.arange(4)]).view("<u4")[:, 0]
+    out[row, raw[at + nth]] |= rest.astype(np.uint32) << width[row].astype(np.uint32)
     out += heads["low"][:, None]
     return out.reshape(-1)[: int(head["values"]) - first * BLOCK]
 
@@ -135,6 +160,7 @@ def _read(spark: SparkSession, folder: str, last: str, digest) -> DataFrame:
     # One small row an image (2,000,000 ids): its start among all ids.
     before = Window.orderBy("task", "image").rowsBetween(Window.unboundedPreceding, -1)
     starts = images.select("task", "image", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")).alias("first"))
+    starts = base.saved(starts, "starts")  # small, and known to be: the images needn't be shuffled to meet it
     kind, name = digest(b"")[1], last.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,14 +1,14 @@
 """Ids as the tokenizers library gives them, with a bounded memory of the words it has been asked for.
 
-A text is cut at blanks where the tokenizer cuts it in any case; the library encodes each piece it hasn't
-seen lately, many at a time. ``keeps_blank`` says whether a blank belongs to the word after it (byte-level
-vocabularies) or is dropped (vocabularies with word ends).
+A text is cut at blanks, where the tokenizer cuts it in any case; the library encodes the words that it hasn't
+been asked for lately, many at a time. ``keeps_blank`` says whether a blank belongs to the word after it
+(byte-level vocabularies) or is dropped (vocabularies with word ends).
 """
 
 from __future__ import annotations
 
 import os
-import re
+import string
 from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has one core
@@ -16,7 +16,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has one co
 import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-_UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
+#: Signs that no word's letters run into: between a letter and them the tokenizer cuts.
+_SIGNS = string.punctuation.replace("'", "")
 
 
 class Encoder:
@@ -27,62 +28,79 @@ class Encoder:
         self.keeps_blank, self.size, self.longest = keeps_blank, size, longest
         # Between words asked for together stands what is one id by itself and is in none of them.
         self.mark = "\n" if keeps_blank else "\x01"
-        self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        self.glue = self.mark if keeps_blank else f" {self.mark} "
-        self.memory: dict[str, bytes] = self._fixed()
-
-    def _fixed(self) -> dict[str, bytes]:
-        return {"": b"", "\n": np.asarray(self.mark_id, "<u4").tobytes()} if self.keeps_blank else {}
+        mark_ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = mark_ids[0] if len(mark_ids) == 1 else None
+        self.newline = np.asarray(mark_ids, "<u4").tobytes()
+        #: ids of words at the start of a line, and of words after a blank
+        self.plain: dict[str, bytes] = {"": b""}
+        self.after_blank: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
-    def _ask_words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words without white space inside: many go as one text, which costs less than one by one."""
-        plain = [w for w in words if self.mark not in w and "<|" not in w]
-        out = {}
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words without white space inside: 2000 go as one text, which costs less than one by one."""
+        glue, out = self.mark if self.keeps_blank else f" {self.mark} ", {}
+        plain = [w for w in words if self.mark not in w and "<|" not in w] if self.mark_id is not None else []
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
-            ids = np.frombuffer(self._ask([self.glue.join(part)])[0], "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id[0])
-            if len(self.mark_id) == 1 and len(cuts) == len(part) - 1:
-                raw, ends = ids.tobytes(), [*cuts.tolist(), len(ids)]
-                begins = [0, *(cuts + 1).tolist()]
+            ids = np.frombuffer(self._ask([glue.join(part)])[0], "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) == len(part) - 1:
+                raw, begins, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
                 out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, begins, ends, strict=True))
         rest = [w for w in words if w not in out]
         out.update(zip(rest, self._ask(rest), strict=True))
         return out
 
-    def _parts(self, text: str) -> list[str] | None:
-        """Pieces in order, with a blank in front where one belongs to them; None: the text goes as a whole."""
-        if not self.keeps_blank:
-            return [w for w in text.replace("\n", " ").split(" ") if w]
-        if _UNEVEN.search(text):
-            return None
-        out = []
-        for line in text.split("\n"):
-            if out:
-                out.append("\n")
-            out.extend(line.replace(" ", "\0 ").split("\0") if "\0" not in line else re.split("(?= )", line))
-        return out
+    def _learn(self, words: set[str], memory: dict[str, bytes], blank: str) -> list[str]:
+        """Put words into memory, and return them. Signs at a word's end are asked for by themselves."""
+        new, ends = [w for w in words if w not in memory], {}
+        for w in new:
+            if w[-1] in _SIGNS and "<|" not in w and (stem := w.rstrip(_SIGNS)) and stem[-1].isalpha():
+                ends[w] = stem
+        stems, tails = {*ends.values()}.difference(memory), {w[len(s) :] for w, s in ends.items()}.difference(self.plain)
+        asked = {*stems, *(w for w in new if w not in ends)}
+        got = self._together([blank + w for w in asked] + list(tails))
+        self.plain.update((w, got[w]) for w in tails)
+        memory.update((w, got[blank + w]) for w in asked)
+        memory.update((w, memory[s] + self.plain[w[len(s) :]]) for w, s in ends.items())
+        return [*new, *stems]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = list(map(self._parts, texts))
-        memory = self.memory
-        if len(memory) > self.size:
-            memory.clear()
-            memory.update(self._fixed())
-        asked = list(set(chain.from_iterable(filter(None, parts))).difference(memory))
-        memory.update(self._ask_words(asked))
-        whole = iter(self._ask([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        out = [next(whole) if p is None else b"".join(map(memory.__getitem__, p)) for p in parts]
-        for w in asked:
-            if len(w) > self.longest:
-                del memory[w]
+        for memory in (self.plain, self.after_blank):
+            if len(memory) > self.size:
+                memory.clear()
+                memory.update({"": b""} if memory is self.plain else {})
+        if not self.keeps_blank:
+            parts = [text.replace("\n", " ").split(" ") for text in texts]
+            new = self._learn(set(chain.from_iterable(parts)), self.plain, "")
+            out = [b"".join(map(self.plain.__getitem__, p)) for p in parts]
+            self._trim(self.plain, new)
+            return out
+        lines = [[line.split(" ") for line in text.split("\n")] if _even(text) else None for text in texts]
+        first = self._learn({x[0] for t in lines if t for x in t}, self.plain, "")
+        after = self._learn({w for t in lines if t for x in t for w in x[1:]}, self.after_blank, " ")
+        whole = iter(self._ask([t for t, x in zip(texts, lines, strict=True) if x is None]))
+        plain, get = self.plain, self.after_blank.__getitem__
+        out = [next(whole) if t is None else self.newline.join([plain[x[0]] + b"".join(map(get, x[1:])) for x in t]) for t in lines]
+        self._trim(self.plain, first)
+        self._trim(self.after_blank, after)
         return out
 
+    def _trim(self, memory: dict[str, bytes], words: list[str]) -> None:
+        for w in words:
+            if len(w) > self.longest:
+                memory.pop(w, None)
+
+
+def _even(text: str) -> bool:
+    """No white space but single blanks and line ends, none at the text's ends."""
+    words, n = text.split(), text.count(" ") + text.count("\n")
+    return not text or (len(words) == n + 1 and sum(map(len, words)) + n == len(text))
+
 
 _MADE: dict = {}
 
