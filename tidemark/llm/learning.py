@@ -142,6 +142,13 @@ class NonNegativePU:
         return w, b - cut
 
 
+def _toxic_score(known: dict[str, float] | None):
+    if known is None:
+        return lambda text: 0.0
+    bias, vocabulary = known.get("", 0.0), known.keys() - {""}
+    return lambda text: float(sigmoid(bias + sum(map(known.__getitem__, sorted(vocabulary.intersection(_words(text.lower())))))))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, model: NonNegativePU | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs(doc_id, text).
 
@@ -152,14 +159,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: NonNegativePU | None = N
     weights = (model or NonNegativePU()).fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # at most NonNegativePU.words entries
 
-    def score():
-        known = sent.value
-        if known is None:
-            return lambda text: 0.0
-        bias, vocabulary = known.get("", 0.0), known.keys() - {""}
-        return lambda text: float(sigmoid(bias + sum(map(known.__getitem__, sorted(vocabulary.intersection(_words(text.lower())))))))
+    return _scored(docs, lambda: _toxic_score(sent.value), threshold)
 
-    return _scored(docs, score, threshold)
+
+def without_toxic(docs: DataFrame, labels: DataFrame, model: NonNegativePU | None = None, threshold: float = 0.5) -> DataFrame:
+    """docs, all its columns, without the rows whose score is threshold or more; nothing moves between tasks."""
+    weights = (model or NonNegativePU()).fit(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = _toxic_score(sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array([each(t or "") < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 # ---------------------------------------------------------------- quality

@@ -216,6 +216,16 @@ def repeated_spans(docs: DataFrame, k: int = 13, m: int = 4) -> DataFrame:
     return met.union(single).filter("source IS NOT NULL")
 
 
+def _kept(text: str, spans: list[int], k: int) -> tuple[list[bytes], str]:
+    """Words that no span covers, and the text they make."""
+    words = text.encode().split()
+    edge, x = np.zeros(len(words) + 1, np.int64), np.array(spans, np.int64)
+    np.add.at(edge, x >> _LEN, 1)
+    np.add.at(edge, (x >> _LEN) + (x & ((1 << _LEN) - 1)) + k - 1, -1)
+    keep = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+    return keep, b" ".join(keep).decode()
+
+
 def _removed(docs: DataFrame, k: int, result: str, make) -> DataFrame:
     spans = repeated_spans(docs, k).groupBy("doc").agg(F.collect_list("span").alias("spans")).withColumnRenamed("doc", "doc_id")
 
@@ -225,13 +235,7 @@ def _removed(docs: DataFrame, k: int, result: str, make) -> DataFrame:
             out = []
             for doc, text, spans in zip(ids, texts, found, strict=True):
                 words = text.encode().split()
-                keep = words
-                if spans:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    x = np.array(spans, np.int64)
-                    np.add.at(edge, x >> _LEN, 1)
-                    np.add.at(edge, (x >> _LEN) + (x & ((1 << _LEN) - 1)) + k - 1, -1)
-                    keep = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+                keep = _kept(text, spans, k)[0] if spans else words
                 out.append((doc, len(words), len(words) - len(keep), make(text, words, keep)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -251,6 +255,23 @@ def substring_dedup(docs: DataFrame, k: int = 13) -> DataFrame:
     return _removed(docs, k, "doc_id long, n_words long, n_removed long, text string", lambda text, words, keep: text if len(words) == len(keep) else b" ".join(keep).decode())
 
 
+def without_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
+    """docs with all its columns, its texts as substring_dedup() leaves them, and n_chars (if there) to match."""
+    spans = repeated_spans(docs, k).groupBy("doc").agg(F.collect_list("span").alias("_spans")).withColumnRenamed("doc", "_doc")
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = [t if not x else _kept(t, x, k)[1] for t, x in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist(), strict=True)]
+                cols = {n: part.column(n) for n in schema.names} | {"text": pa.array(texts, pa.string())}
+                yield pa.record_batch([cols[n] for n in schema.names], schema.names)
+
+    out = docs.join(spans, docs["doc_id"] == spans["_doc"], "left").drop("_doc").mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
+
+
 def kept_digests(docs: DataFrame, k: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: substring_dedup(), with a digest of the words that stay, joined by one
     blank, in place of the text."""
