@@ -140,7 +140,7 @@ class Forest:
                 made = [self.shingles(t).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.record_batch([batch.column("rep"), pa.array(made, pa.binary())], ["rep", "shingles"])
 
-        whole = base.texts(docs).withColumnRenamed("doc_id", "rep").join(ids, "rep")
+        whole = base.texts(docs).withColumnRenamed("doc_id", "rep").join(ids.hint("merge"), "rep")
         return whole.mapInArrow(run, "rep long, shingles binary")
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
