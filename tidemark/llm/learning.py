@@ -60,7 +60,8 @@ class NonNegativePU:
     prior: share of positives in unlabelled text; None: the share of labelled training rows that are positive.
     positives, unlabelled: most rows of each kind that are learnt from. words: most words in the vocabulary, those
     that stand out most in the positives: by least_z standard errors at least, for chance alone makes some of
-    very many words stand out by less. penalty: L2. weakest: the quantile of the positives' margins that
+    very many words stand out by less, and by least_lift times, so that words of a language or topic that
+    toxic text merely has more of stay out. penalty: L2. weakest: the quantile of the positives' margins that
     counts as their weakest.
     """
 
@@ -70,6 +71,7 @@ class NonNegativePU:
     words: int = 4096
     least_docs: int = 3
     least_z: float = 5.0
+    least_lift: float = 3.0
     steps: int = 200
     rate: float = 0.1
     penalty: float = 1e-4
@@ -104,7 +106,7 @@ class NonNegativePU:
         in_unl = np.bincount(code[kind[row] == 0], minlength=len(names))
         both = (in_pos + in_unl) / (n_pos + n_unl)
         z = (in_pos / n_pos - in_unl / n_unl) / np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_unl) + 1e-12)
-        z[in_pos < max(self.least_docs, n_pos / 100)] = -1
+        z[(in_pos < max(self.least_docs, n_pos / 200)) | (in_pos / n_pos < self.least_lift * in_unl / n_unl)] = -1
         keep = np.sort(np.argsort(-z, kind="stable")[: self.words])
         keep = keep[z[keep] >= self.least_z]
         place = np.full(len(names), -1)
