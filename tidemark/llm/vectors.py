@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import base
 from tidemark.llm.components import components
@@ -53,9 +54,9 @@ class Tables:
         return out
 
 
-def _matrix(raw: list[bytes]) -> np.ndarray:
-    """Unit vectors, in double precision, of vectors of one length."""
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _matrix(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors, in double precision, of vectors of one length and kind."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -70,14 +71,26 @@ def _tiled(df: DataFrame, key: list[str], size: str) -> DataFrame:
     return out.withColumn("tile", F.when(F.col("parts") > 1, tile).otherwise(F.lit(0).cast("long"))).withColumn("home", F.col("mine")).withColumn("own", F.col("mine") == F.col("other")).drop("parts", "mine", "other", size)
 
 
-def _by_group(df: DataFrame, key: list[str], result: str, each: Callable[[list[dict]], pa.RecordBatch], empty: Callable[[], pa.RecordBatch]) -> DataFrame:
-    """each(rows) of every group of rows with an equal key: partitions are sorted by it and read as a stream, so
-    that small groups cost little and a task holds one group at a time."""
+def _by_group(df: DataFrame, key: list[str], result: list[tuple[str, pa.DataType]], each: Callable[[dict[str, list]], list[list]], over: Callable[[tuple, dict[str, list]], list[list]] | None = None) -> DataFrame:
+    """each(rows) of every group of rows with an equal key, as columns of result: partitions are sorted by the key
+    and read as a stream, so that small groups cost little and a task holds one group. With over, a group of more
+    than TILE rows isn't held: over(key, rows) takes its rows as they come."""
     names = [c for c in df.columns if c not in key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, {n: [] for n in names}
-        found: list[pa.RecordBatch] = []
+        last, held, large, found = None, {n: [] for n in names}, False, []
+
+        def done() -> None:
+            if large:
+                found.append(over(last, held))
+            elif len(held[names[0]]) > 1:
+                found.append(each(held))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if any(x[0] for x in found):
+                yield pa.record_batch([pa.array([v for x in found for v in x[i]], t) for i, (_, t) in enumerate(result)], [n for n, _ in result])
+            found.clear()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -86,19 +99,21 @@ def _by_group(df: DataFrame, key: list[str], result: str, each: Callable[[list[d
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if keys[a] != last:
-                    if len(held[names[0]]) > 1:
-                        found.append(each(held))
-                    last, held = keys[a], {n: [] for n in names}
+                    done()
+                    last, held, large = keys[a], {n: [] for n in names}, False
                 for n in names:
                     held[n] += cols[n][a:b]
-            if found:
-                yield pa.Table.from_batches(found).combine_chunks().to_batches()[0] if sum(x.num_rows for x in found) else empty()
-                found = []
-        if len(held[names[0]]) > 1:
-            yield each(held)
+                if over and len(held[names[0]]) > TILE:
+                    large = True
+                if large:
+                    found.append(over(last, held))
+                    held = {n: [] for n in names}
+            yield from out()
+        done()
+        yield from out()
 
     spread = df.repartition(*key).sortWithinPartitions(*key)
-    return spread.mapInArrow(run, result)
+    return spread.mapInArrow(run, ", ".join(f"{n} {'int' if t == pa.int32() else 'long'}" for n, t in result))
 
 
 def near_vectors(rows: DataFrame, tables: Tables | None = None) -> DataFrame:
@@ -115,7 +130,8 @@ def near_vectors(rows: DataFrame, tables: Tables | None = None) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     tables = tables or Tables()
-    spark = rows.sparkSession
+    # What moves between tasks is as wide as the input's numbers; arithmetic is in doubles.
+    kind = "<f4" if rows.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
     doubles = F.col("embedding").cast("array<double>")
     fine = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(doubles, lambda x: x != 0)
     usable = F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()
@@ -128,23 +144,21 @@ def near_vectors(rows: DataFrame, tables: Tables | None = None) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.asarray(v, "<f8") for v in batch.column("vector").to_pylist()]
+            raw = [np.asarray(v, kind) for v in batch.column("vector").to_pylist()]
             for n in {len(x) for x in raw}:
                 of = [i for i, x in enumerate(raw) if len(x) == n]
                 data = [raw[i].tobytes() for i in of]
-                bucket = tables.buckets(_matrix(data), many, each)
+                bucket = tables.buckets(_matrix(data, kind), many, each)
                 t = np.tile(np.arange(many), len(of))
                 again = np.repeat(np.arange(len(of)), many)
                 reps = pa.array([batch.column("rep")[i].as_py() for i in of], pa.int64())
                 cols = [reps.take(pa.array(again)), pa.array(data, pa.binary()).take(pa.array(again)), pa.array(t, pa.int32()), pa.array(bucket.reshape(-1).view(np.int64) ^ n)]
                 yield pa.record_batch(cols, ["vec_id", "data", "place", "bucket"])
 
-    placed = base.saved(classes.select("rep", "vector").mapInArrow(hashed, "vec_id long, data binary, place int, bucket long"), "placed")
-    sizes = placed.groupBy("place", "bucket").count().filter("count > 1")
-    met = _tiled(placed.join(sizes, ["place", "bucket"]), ["place", "bucket"], "count")
+    placed = classes.select("rep", "vector").mapInArrow(hashed, "vec_id long, data binary, place int, bucket long")
 
-    def forest(held: dict[str, list]) -> pa.RecordBatch:
-        x, ids = _matrix(held["data"]), held["vec_id"]
+    def forest(held: dict[str, list]) -> list[list]:
+        x, ids = _matrix(held["data"], kind), held["vec_id"]
         linked = x @ x.T >= tables.cosine
         np.fill_diagonal(linked, False)
         u, v, left = [], [], np.ones(len(ids), bool)
@@ -159,34 +173,48 @@ def near_vectors(rows: DataFrame, tables: Tables | None = None) -> DataFrame:
                     front.append(j)
                     u.append(ids[root])
                     v.append(ids[j])
-        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    none = lambda: pa.record_batch([pa.array([], pa.int64())] * 2, ["u", "v"])
-    links = _by_group(met, ["place", "bucket", "tile"], "u long, v long", forest, none)
+        return [u, v, [None] * len(u), [None] * len(u)]
+
+    def over(key: tuple, held: dict[str, list]) -> list[list]:
+        n = len(held["vec_id"])
+        return [held["vec_id"], [None] * n, [key[0]] * n, [key[1]] * n]
+
+    pair = [("u", pa.int64()), ("v", pa.int64()), ("place", pa.int32()), ("bucket", pa.int64())]
+    met = base.saved(_by_group(placed, ["place", "bucket"], pair, forest, over), "met")
+    large = met.filter("v IS NULL").select(F.col("u").alias("vec_id"), "place", "bucket")
+    large = large.join(large.groupBy("place", "bucket").count(), ["place", "bucket"]).join(classes.select(F.col("rep").alias("vec_id"), "vector"), "vec_id")
+    tiles = _tiled(large, ["place", "bucket"], "count")
+
+    def forest_of_arrays(held: dict[str, list]) -> list[list]:
+        out = []
+        for size in {len(x) for x in held["vector"]}:
+            of = [i for i, x in enumerate(held["vector"]) if len(x) == size]
+            out.append(forest({"vec_id": [held["vec_id"][i] for i in of], "data": [np.asarray(held["vector"][i], kind).tobytes() for i in of]}))
+        return [[v for x in out for v in x[i]] for i in range(4)]
+
+    links = met.filter("v IS NOT NULL").select("u", "v").union(_by_group(tiles, ["place", "bucket", "tile"], pair, forest_of_arrays).select("u", "v"))
     found = base.saved(components(base.saved(links.distinct(), "links")), "components")
-    base.forget(placed)
 
     members = found.groupBy("component").count()
     raw = classes.select(F.col("rep").alias("vec_id"), "vector", "copies")
     grouped = raw.join(found.withColumnRenamed("node", "vec_id"), "vec_id").join(members, "component")
 
-    def counts(held: dict[str, list]) -> pa.RecordBatch:
-        ids, copies, home = held["vec_id"], np.asarray(held["copies"], np.int64), np.asarray(held["home"])
+    def counts(held: dict[str, list]) -> list[list]:
+        copies, home = np.asarray(held["copies"], np.int64), np.asarray(held["home"])
         lengths = np.asarray([len(v) for v in held["vector"]])
-        n = np.zeros(len(ids), np.int64)
+        n = np.zeros(len(copies), np.int64)
         for size in np.unique(lengths):
             of = np.flatnonzero(lengths == size)
-            x = _matrix([np.asarray(held["vector"][i], "<f8").tobytes() for i in of])
+            x = _matrix([np.asarray(held["vector"][i], kind).tobytes() for i in of], kind)
             linked = x @ x.T >= tables.cosine
             np.fill_diagonal(linked, False)
             if not held["own"][0]:  # pairs within a part are counted in the tile of that part alone
                 linked &= home[of][:, None] != home[of][None, :]
             n[of] = linked @ copies[of]
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(n)], ["vec_id", "links"])
+        return [held["vec_id"], n.tolist()]
 
-    none = lambda: pa.record_batch([pa.array([], pa.int64())] * 2, ["vec_id", "links"])
     tiles = _tiled(grouped, ["component"], "count")
-    linked = _by_group(tiles, ["component", "tile"], "vec_id long, links long", counts, none).groupBy("vec_id").agg(F.sum("links").alias("links"))
+    linked = _by_group(tiles, ["component", "tile"], [("vec_id", pa.int64()), ("links", pa.int64())], counts).groupBy("vec_id").agg(F.sum("links").alias("links"))
 
     about = classes.join(linked.withColumnRenamed("vec_id", "rep"), "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     about = about.select("key", "vector", "copies", F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.coalesce("component", "rep"))
