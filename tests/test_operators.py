@@ -181,3 +181,31 @@ def test_network_survives_json():
     assert np.allclose(learning.FloodNet.from_json(net.to_json()).logits(x), net.logits(x))
     with pytest.raises(ValueError, match="channels"):
         learning.FloodNet.from_json(net.to_json(), channels=4)
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(2)
+    net, x, y = learning.FloodNet.seeded(5), rng.normal(size=(6, 5, 8)), np.array([0, 1, 0, 1, 1, 0])
+
+    def loss():
+        return learning.focal(learning._forward(net, x)[0], y, 1.7, 2.0)[0]
+
+    z, trail = learning._forward(net, x)
+    for owner, name, g in learning._backward(net, trail, learning.focal(z, y, 1.7, 2.0)[1]):
+        at = tuple(int(rng.integers(n)) for n in g.shape)
+        old, eps = owner[name][at], 1e-5
+        owner[name][at] = old + eps
+        up = loss()
+        owner[name][at] = old - eps
+        down = loss()
+        owner[name][at] = old
+        assert abs((up - down) / (2 * eps) - g[at]) < 1e-5, name
+
+
+def test_training_learns():
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 400)
+    x = rng.normal(size=(400, 5, 8)) + y[:, None, None] * np.array([1.0, 0, 0, 0, 0])[None, :, None]
+    net = learning.train(x, y, np.repeat(np.arange(10), 40), learning.TrainConfig(epochs=6, batch=64))
+    assert max(h["val_auc"] for h in net.history) > 0.9
+    assert learning.learning_rate(20, learning.TrainConfig()) == 1e-3

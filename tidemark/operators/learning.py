@@ -93,3 +93,143 @@ def infer(curves: DataFrame, net: FloodNet, key: list[str], threshold: float = 0
             yield pa.record_batch([*(batch.column(k) for k in key), pa.array(p, mask=none), pa.array(label, mask=none)], [*key, "prob", "pred"])
 
     return curves.select(*key, *CHANNELS).mapInArrow(run, schema)
+
+
+# ------------------------------------------------------------------ training
+
+
+@dataclass(frozen=True)
+class TrainConfig:
+    """Focal loss with the positives' weight, AdamW, cosine restarts, gradients clipped by norm, and a stop after
+    patience epochs without a gain in validation AUC."""
+
+    epochs: int = 100
+    batch: int = 512
+    rate: float = 1e-3
+    decay: float = 1e-4
+    gamma: float = 2.0
+    clip: float = 5.0
+    patience: int = 20
+    least_gain: float = 1e-4
+    first_cycle: int = 20
+    cycle_growth: int = 2
+    ratio: float = 0.2
+    seed: int = 42
+
+
+def rank_auc(scores: np.ndarray, labels: np.ndarray, steps: int = 100) -> float:
+    """Area under the curve through steps + 1 thresholds, as in metrics.auc."""
+    pos, neg = (labels == 1).sum(), (labels == 0).sum()
+    if not pos or not neg:
+        return 0.5
+    t = np.linspace(0, 1, steps + 1)[::-1]
+    y = [0.0, *((scores[labels == 1][None, :] >= t[:, None]).sum(axis=1) / pos), 1.0]
+    x = [0.0, *((scores[labels == 0][None, :] >= t[:, None]).sum(axis=1) / neg), 1.0]
+    return float(np.trapezoid(y, x))
+
+
+def learning_rate(epoch: int, config: TrainConfig) -> float:
+    """Cosine from the full rate to 0, over cycles that grow."""
+    length = config.first_cycle
+    while epoch >= length:
+        epoch, length = epoch - length, length * config.cycle_growth
+    return config.rate * (1 + np.cos(np.pi * epoch / length)) / 2
+
+
+def _forward(net: FloodNet, x: np.ndarray) -> tuple[np.ndarray, list]:
+    """Logits with the statistics of the batch, and what the way back needs."""
+    kept = []
+    for a in net.layers:
+        s = net._spread(x)
+        z = s @ a["w"].reshape(len(a["w"]), -1).T + a["b"]
+        mean, var = z.mean(axis=(0, 1)), z.var(axis=(0, 1))
+        n = (z - mean) / np.sqrt(var + 1e-5)
+        o = n * a["gain"] + a["shift"]
+        a["mean"], a["var"] = 0.9 * a["mean"] + 0.1 * mean, 0.9 * a["var"] + 0.1 * var
+        kept.append((s, n, var, o))
+        x = np.maximum(o, 0).transpose(0, 2, 1)
+    top = x.argmax(axis=2)
+    h = np.concatenate([x.mean(axis=2), x.max(axis=2)], axis=1)
+    u = np.maximum(h @ net.head["w1"].T + net.head["b1"], 0)
+    return (u @ net.head["w2"].T + net.head["b2"])[:, 0], [*kept, (x, top, h, u)]
+
+
+def _backward(net: FloodNet, kept: list, d: np.ndarray) -> list[tuple[dict, str, np.ndarray]]:
+    """Gradients of all parameters for d = d loss / d logits."""
+    x, top, h, u = kept[-1]
+    du = (d[:, None] @ net.head["w2"]) * (u > 0)
+    grads = [(net.head, "w2", d[None, :] @ u), (net.head, "b2", np.array([d.sum()])), (net.head, "w1", du.T @ h), (net.head, "b1", du.sum(axis=0))]
+    dh, c = du @ net.head["w1"], x.shape[1]
+    dx = np.repeat(dh[:, :c, None] / x.shape[2], x.shape[2], axis=2)
+    np.put_along_axis(dx, top[:, :, None], np.take_along_axis(dx, top[:, :, None], 2) + dh[:, c:, None], 2)
+    for a, (s, n, var, o) in zip(net.layers[::-1], kept[-2::-1], strict=True):
+        do = dx.transpose(0, 2, 1) * (o > 0)
+        grads += [(a, "gain", (do * n).sum(axis=(0, 1))), (a, "shift", do.sum(axis=(0, 1)))]
+        dn = do * a["gain"]
+        dz = (dn - dn.mean(axis=(0, 1)) - n * (dn * n).mean(axis=(0, 1))) / np.sqrt(var + 1e-5)
+        flat = dz.reshape(-1, dz.shape[2])
+        grads += [(a, "w", (flat.T @ s.reshape(len(flat), -1)).reshape(a["w"].shape)), (a, "b", flat.sum(axis=0))]
+        ds = (dz @ a["w"].reshape(len(a["w"]), -1)).reshape(*dz.shape[:2], -1, 3).transpose(0, 2, 3, 1)
+        dp = np.zeros((ds.shape[0], ds.shape[1], ds.shape[3] + 2))
+        for i in range(3):
+            dp[:, :, i : i + ds.shape[3]] += ds[:, :, i]
+        dx = dp[:, :, 1:-1]
+    return grads
+
+
+def focal(logits: np.ndarray, labels: np.ndarray, weight: float, gamma: float) -> tuple[float, np.ndarray]:
+    """Mean focal loss and its derivative by each logit."""
+    p = np.clip(1 / (1 + np.exp(-logits)), 1e-7, 1 - 1e-7)
+    q, sign, w = np.where(labels == 1, p, 1 - p), np.where(labels == 1, 1.0, -1.0), np.where(labels == 1, weight, 1.0)
+    loss = w * (1 - q) ** gamma * -np.log(q)
+    d_q = w * (gamma * (1 - q) ** (gamma - 1) * np.log(q) - (1 - q) ** gamma / q)
+    return float(loss.mean()), d_q * sign * p * (1 - p) / len(logits)
+
+
+def train(x: np.ndarray, labels: np.ndarray, groups: np.ndarray, config: TrainConfig | None = None) -> FloodNet:
+    """A network from curves (rows, channels, time). Whole groups (grids) are held out for validation; with
+    one group, rows are. The state with the best validation AUC is returned, with its history."""
+    config = config or TrainConfig()
+    rng = np.random.default_rng(config.seed)
+    units = np.unique(groups)
+    if len(units) < 2:
+        units, groups = np.arange(len(x)), np.arange(len(x))
+    held = np.isin(groups, rng.permutation(units)[: max(1, int(len(units) * config.ratio))])
+    weight = (labels[~held] == 0).sum() / ((labels[~held] == 1).sum() + 1e-7)
+    net = FloodNet.seeded(config.seed, (x.shape[1], 32, 64, 32))
+    moments: dict = {}
+    best, kept, since, step = -1.0, net.to_json(), 0, 0
+    for epoch in range(config.epochs):
+        rate, losses = learning_rate(epoch, config), []
+        order = rng.permutation(np.flatnonzero(~held))
+        for at in range(0, len(order), config.batch):
+            rows = order[at : at + config.batch]
+            z, trail = _forward(net, x[rows])
+            loss, d = focal(z, labels[rows], weight, config.gamma)
+            losses.append(loss)
+            grads = _backward(net, trail, d)
+            norm = np.sqrt(sum(float((g**2).sum()) for _, _, g in grads))
+            step += 1
+            for owner, name, g in grads:
+                g = g * min(1.0, config.clip / (norm + 1e-6))
+                m, v = moments.get((id(owner), name), (0.0, 0.0))
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                moments[id(owner), name] = m, v
+                owner[name] = owner[name] * (1 - rate * config.decay) - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        score = rank_auc(1 / (1 + np.exp(-net.logits(x[held]))), labels[held])
+        net.history.append({"epoch": epoch, "train_loss": float(np.mean(losses)), "val_auc": score, "lr": float(rate)})
+        if score > best + config.least_gain:
+            best, kept, since = score, net.to_json(), 0
+        elif (since := since + 1) >= config.patience:
+            break
+    final = FloodNet.from_json(kept, x.shape[1])
+    final.history = net.history
+    return final
+
+
+def train_on(curves: DataFrame, label: str = "label", group: str = "grid_id", rows: int = 200_000, config: TrainConfig | None = None) -> FloodNet:
+    """train() on at most rows labelled curves, in the order of a hash: they reach the driver as one Arrow table."""
+    keyed = curves.filter(F.col(label).isNotNull()).withColumn("_order", F.xxhash64(*CHANNELS[:3], group)).orderBy("_order").limit(rows)
+    table = keyed.select(*CHANNELS, label, group).toArrow().combine_chunks()
+    batch = table.to_batches()[0]
+    return train(tensor(batch), np.array(batch.column(label).to_pylist()), np.array(batch.column(group).to_pylist()), config)
