@@ -27,15 +27,17 @@ def order_statistics(obs: DataFrame, ties: list[str], key: list[str] = SERIES) -
 def sort_order(obs: DataFrame, ties: list[str], slots: list[str], key: list[str] = SERIES) -> DataFrame:
     """The k-th smallest value stands in the k-th slot that holds one: slot, src_slot (where the value came from).
 
-    Slots are numbered from 0 in the order of the columns slots; slots without a value have src_slot -1. The
-    two rankings meet in a window, not a self-join: rank by x is looked up among the present slots."""
+    Slots are numbered from 0 in the order of the columns slots; slots without a value have src_slot -1. A series is
+    put in order once, as one array of its scenes, on the exchange that numbered its slots."""
     series = Window.partitionBy(*key)
     out = obs.withColumn("slot", F.row_number().over(series.orderBy(*slots)) - 1)
     has = F.col("x").isNotNull()
-    out = out.withColumn("place", F.when(has, F.count("x").over(series.orderBy(*slots).rowsBetween(Window.unboundedPreceding, 0))))
-    ranked = out.withColumn("values", F.sort_array(F.collect_list(F.when(has, F.struct("x", *ties, "slot"))).over(series)))
-    source = F.try_element_at("values", F.col("place").cast("int"))
-    return ranked.select(*key, "slot", source["x"].alias("x"), F.coalesce(source["slot"], F.lit(-1)).alias("src_slot"))
+    values = F.sort_array(F.collect_list(F.when(has, F.struct("x", *ties, "slot"))))
+    places = F.sort_array(F.collect_list(F.when(has, F.col("slot"))))
+    out = out.groupBy(*key).agg(values.alias("values"), places.alias("places"), F.collect_list(F.when(~has, F.col("slot"))).alias("gaps"))
+    filled = F.zip_with("places", "values", lambda p, v: F.struct(p.alias("slot"), v["x"].alias("x"), v["slot"].alias("src_slot")))
+    empty = F.transform("gaps", lambda p: F.struct(p.alias("slot"), F.lit(None).cast(obs.schema["x"].dataType).alias("x"), F.lit(-1).alias("src_slot")))
+    return out.select(*key, F.explode(F.concat(filled, empty)).alias("s")).select(*key, "s.*")
 
 
 def normalised(obs: DataFrame, key: list[str] = SERIES) -> DataFrame:
