@@ -21,7 +21,7 @@ _SIGNS = string.punctuation.replace("'", "")
 
 
 class Encoder:
-    def __init__(self, path: str, keeps_blank: bool, size: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, keeps_blank: bool, size: int = 800_000, longest: int = 64):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
