@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
-import os
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -30,12 +33,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, which driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.gettempdir()}/tidemark-{os.getpid()}"
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not re.match(r"local(\[[^]]*\])?$", spark.conf.get("spark.master", "local")):
             raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all machines share")
+        root = f"file://{_own_folder()}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    """Scratch space of a local session; it goes with this process."""
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared scratch folder and read again: lineage ends, lost executors cost nothing."""
     path = scratch(df.sparkSession, name)
