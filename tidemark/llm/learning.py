@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -198,10 +199,11 @@ class SubwordEmbeddings:
     rate: float = 0.5
     seed: int = 11
 
-    def word(self, w: str) -> np.ndarray:
-        s = f"<{w}>"
+    def word(self, w: str) -> list[int]:
+        """Buckets of a word and its n-grams."""
+        s, m = f"<{w}>", self.buckets - 1
         found = [s, *(s[i : i + n] for n in self.grams for i in range(len(s) - n + 1))]
-        return np.fromiter((xxhash.xxh32_intdigest(x) for x in found), np.int64, len(found)) % (self.buckets - 1) + 1
+        return [h % m + 1 for h in map(xxhash.xxh32_intdigest, found)]
 
     def pairs(self, words: list[str]) -> np.ndarray:
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -217,7 +219,7 @@ class SubwordEmbeddings:
         each = list(map(memory.__getitem__, words))
         n = np.fromiter(map(len, each), np.int64, len(each))
         pairs, all_ = self.pairs(words), 2 * len(words) - 1
-        at = np.concatenate([*each, pairs])
+        at = np.concatenate([np.fromiter(chain.from_iterable(each), np.int64, int(n.sum())), pairs])
         value = np.concatenate([np.repeat(1 / n, n), np.ones(len(pairs))]) / all_
         total = np.bincount(at, value, minlength=self.buckets)
         used = np.flatnonzero(total)
@@ -293,7 +295,13 @@ def quality(docs: DataFrame, labels: DataFrame, model: SubwordEmbeddings | None
         if sent.value is None:
             return lambda text: 0.5
         part, bias = sent.value
-        memory = bpe.Memory(lambda w: float(part[model.word(w)].mean()), 300_000)
+        get = part.tolist().__getitem__
+
+        def mean(w: str) -> float:
+            at = model.word(w)
+            return sum(map(get, at)) / len(at)
+
+        memory = bpe.Memory(mean, 600_000)
 
         def one(text: str) -> float:
             words = text.split()
