@@ -241,6 +241,24 @@ def test_near(spark, odd, nothing):
     assert near.near_dedup(nothing).count() == 0
 
 
+def scattered(words, changes, seed):
+    """words, so many of them replaced, no two of which are in one shingle."""
+    out, step = list(words), len(words) // changes
+    for k, at in enumerate(np.random.default_rng(seed).integers(5, step - 5, changes)):
+        out[k * step + at] = f"n{seed}x{k}"
+    return out
+
+
+def test_near_hub(spark):
+    """2000 copies, each similar enough to the original (0.85) and to no other copy (0.72)."""
+    words = [f"v{i}" for i in range(400)]
+    rows = [(i, " ".join(words if i == 1000 else scattered(words, 8, i))) for i in range(2001)]
+    hub = near.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(hub) == 2001 and {r.component_id for r in hub} == {0}
+    none = near.near_dedup(spark.createDataFrame(rows[:400], "doc_id long, text string").repartition(5)).collect()
+    assert len(none) == 400 and all(r.kept for r in none)
+
+
 # ------------------------------------------------------------ substrings
 
 

@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import base
 from tidemark.llm.components import components
+from tidemark.llm.vectors import _by_group
+
+#: Shingles (and 256 a document) in a part of a dense region, about: two parts meet in a task at once.
+PART = 1 << 18
 
 
 @dataclass(frozen=True)
 class Forest:
     """words: in a shingle. percent: least Jaccard similarity, in hundredths. trees: sorted orders. depth: hashes
     in a tree's label. shallow: least common prefix of a candidate pair. reach: neighbours on each side of a
-    document in each order. least_match: share of equal hashes under which a pair of documents of more than
+    document in each order; regions of more than reach + 1 documents are then compared in full. least_match: share of equal hashes under which a pair of documents of more than
     small shingles isn't confirmed (at 0.8 similarity six standard deviations below the mean)."""
 
     words: int = 4
@@ -113,6 +117,68 @@ class Forest:
         pairs = found.filter("place IS NULL").select("a", "b").union(ends.filter("b IS NOT NULL"))
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
 
+    def dense(self, signed: DataFrame) -> DataFrame:
+        """rep, n_shingles, region: the documents of each region (a prefix of shallow hashes in a tree) that has more
+        than reach + 1; in one of fewer, every pair is of neighbours."""
+        region = f"transform(sequence(0, {self.trees - 1}), t -> xxhash64(t, substring(signature, t * {2 * self.depth} + 1, {2 * self.shallow})))"
+        rows = signed.select("rep", "n_shingles", F.explode(F.expr(region)).alias("region"))
+        sizes = base.saved(rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > self.reach + 1), "regions")
+        return base.looked_up(rows, sizes, "region", "size", signed.count() * self.trees).select("rep", "n_shingles", "region")
+
+    def across(self, dense: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+        """u, v: links that join the components of found (node, component) within the regions of dense, so that no
+        two documents of a region that are similar enough stay apart.
+
+        Each pair of unlike components has a document outside the region's heaviest one. Those outside are cut
+        into parts by a hash, which meet each other and the parts of the heaviest; documents of that never meet."""
+        rows = dense.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        rows = base.saved(rows, "dense")
+        each = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n_shingles") + 256).alias("weight"))
+        most = F.max(F.struct("weight", "component"))
+        regions = each.groupBy("region").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), most.alias("most"), F.count(F.lit(1)).alias("n"))
+        cut = lambda weight: F.ceil(weight / F.lit(PART)).cast("int")
+        regions = regions.filter("n > 1").select("region", "size", F.col("most.component").alias("heaviest"), cut(F.col("weight") - F.col("most.weight")).alias("few"), cut(F.col("most.weight")).alias("many"))
+        placed = base.looked_up(rows, base.saved(regions, "regions"), "region", "size", rows.count())
+        at = F.xxhash64("rep", F.lit(77))
+        home = F.when(F.col("component") == F.col("heaviest"), F.col("few") + F.pmod(at, "many")).otherwise(F.pmod(at, "few")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.when(F.col("home") < F.col("few"), F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1)))
+        placed = placed.withColumn("home", home).withColumn("other", other)
+        tile = F.least("home", "other").cast("long") * (1 << 31) + F.greatest("home", "other")
+        tiles = placed.select("region", tile.alias("tile"), "home", "component", "rep").join(sets.hint("merge"), "rep")
+        return _by_group(tiles, ["region", "tile"], [("u", pa.int64()), ("v", pa.int64())], self.joined).distinct()
+
+    def joined(self, held: dict[str, list]) -> list[list]:
+        """u, v of links that join unlike components in a tile, found on whole sets: of one part, all pairs; of two,
+        those across."""
+        order = np.argsort(held["home"], kind="stable")
+        home, rep = (np.asarray(held[c])[order] for c in ("home", "rep"))
+        group = np.unique(held["component"], return_inverse=True)[1][order]
+        sets = [np.frombuffer(held["shingles"][i], np.uint64) for i in order]
+        size = np.asarray(list(map(len, sets)))
+        end = np.cumsum(size)
+        start = end - size
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        mine = np.zeros(len(flat), bool)
+        one = home[0] == home[-1]
+        second = len(home) if one else int(np.searchsorted(home, home[-1]))
+        u, v = [], []
+        for i in range(second):
+            least = i + 1 if one else second
+            may = (group[least:] != group[i]) & (100 * np.minimum(size[least:], size[i]) >= self.percent * np.maximum(size[least:], size[i]))
+            of = least + np.flatnonzero(may)
+            if not len(of):
+                continue
+            a, b = of[0], of[-1] + 1
+            mine[flat[start[i] : end[i]]] = True
+            same = np.add.reduceat(mine[flat[start[a] : end[b - 1]]], start[a:b] - start[a], dtype=np.int64)[of - a]
+            mine[flat[start[i] : end[i]]] = False
+            of = of[100 * same >= self.percent * (size[i] + size[of] - same)]
+            others, first = np.unique(group[of], return_index=True)
+            u += [int(rep[i])] * len(first)
+            v += rep[of[first]].tolist()
+            group[np.isin(group, others)] = group[i]
+        return [u, v]
+
     def promising(self, pairs: DataFrame, signed: DataFrame) -> DataFrame:
         """a, b, match: pairs whose sizes and signatures allow the similarity."""
         one = signed.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("s_a"))
@@ -166,8 +232,10 @@ def near_dedup(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
 
     Documents with equal sets of shingles form a class, and its smallest doc_id stands for it from there on.
     Pairs of neighbours in the forest are confirmed in two rounds: first the two best of each document, then
-    those that would join different components. Every candidate is so either confirmed on whole sets or known
-    to lie within one component; there is no cap on groups.
+    those that would join different components. Regions that have more documents than neighbours cover, and that
+    are still of several components, are then compared in full. Every pair with a common prefix of shallow
+    hashes in a tree is so either compared or known to lie within one component, whatever the size of its region.
+    Sets too small to be similar enough to any but an equal one take no part in this.
 
     Null text, empty texts and texts of white space have no shingles: they link with nothing and are kept.
     Equal rows repeated with their doc_id have one component; rows with a null doc_id get the component of their
@@ -178,9 +246,12 @@ def near_dedup(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     sketch = base.saved(forest.sketches(docs), "sketches")
     classes = base.saved(sketch.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
     signed = sketch.withColumnRenamed("doc_id", "rep").join(classes.select("key", "rep"), ["key", "rep"])
-    signed = base.saved(signed.select("rep", "n_shingles", "signature").dropDuplicates(["rep"]), "signed")
+    able = signed.filter(100 * F.col("n_shingles") >= forest.percent * (F.col("n_shingles") + 1))
+    signed = base.saved(able.select("rep", "n_shingles", "signature").dropDuplicates(["rep"]), "signed")
     pairs = base.saved(forest.promising(forest.candidates(signed), signed), "pairs")
-    sets = base.saved(forest.sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "sets")
+    dense = base.saved(forest.dense(signed), "dense")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(dense.select("rep")).distinct()
+    sets = base.saved(forest.sets(docs, wanted), "sets")
     base.release(docs.sparkSession)
 
     sides = pairs.union(pairs.select("b", "a", "match"))
@@ -196,6 +267,10 @@ def near_dedup(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
     more = base.saved(forest.confirmed(rest, sets), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        found = base.saved(components(links), "components")
+    more = base.saved(forest.across(dense, found, sets), "links")
     if not more.isEmpty():
         found = base.saved(components(links.union(more)), "components")
     base.forget(sets)
