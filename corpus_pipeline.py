@@ -34,7 +34,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each group of near-duplicates the smallest doc_id stays."""
+    """Operator 8, on shingles of four words as in its query: of each group of near-duplicates the smallest doc_id
+    stays."""
     return _without(docs, near_dedup(docs).filter(~F.col("kept")))
 
 
