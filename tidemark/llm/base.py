@@ -8,9 +8,12 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +83,16 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, size: str, rows: int)
     return left.join(hot, key).unionByName(rest.join(right.filter(F.col(size) <= bound).hint("merge"), key))
 
 
+def sliced(batch: pa.RecordBatch, size: int = 32_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, in order, in slices of about size bytes of text (one row at least)."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text"))), dtype=np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads their bits."""
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]

@@ -128,10 +128,9 @@ def write_ids(docs: DataFrame, path: str, keeps_blank: bool, end_id: int, folder
             return pa.record_batch(cols, ["task", "image", "n_ids", "docs", "lengths", "ids"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in base.sliced(batch):
                 docs += part.column("doc_id").to_pylist()
-                new = [x + end for x in encoder.encode(part.column("text").to_pylist())]
+                new = [x + end for x in encoder.encode(part.column("text"))]
                 ids += new
                 held += sum(map(len, new)) // 4
                 if held >= IMAGE_IDS:

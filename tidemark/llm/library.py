@@ -1,112 +1,138 @@
-"""Ids as the tokenizers library gives them, with a bounded memory of the words it has been asked for.
+"""Ids as the tokenizers library gives them, asked for once for each distinct word of a slice of texts.
 
-A text is cut at blanks, where the tokenizer cuts it in any case; the library encodes the words that it hasn't
-been asked for lately, many at a time. ``keeps_blank`` says whether a blank belongs to the word after it
-(byte-level vocabularies) or is dropped (vocabularies with word ends).
+A text is cut at blanks, where the tokenizer cuts it in any case. ``keeps_blank`` says whether a blank belongs to
+the word after it (byte-level vocabularies) or is dropped (vocabularies with word ends).
 """
 
 from __future__ import annotations
 
 import os
 import string
-from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has one core
 
 import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
+import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Signs that no word's letters run into: between a letter and them the tokenizer cuts.
 _SIGNS = string.punctuation.replace("'", "")
 
 
+#: White space that isn't one blank or line end between words; a text that has it goes to the library whole.
+_BLANK = r"\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_OTHER = _BLANK.replace("\\t-\\r\\x1c- ", r"\t\x0b-\r\x1c-\x1f")
+UNEVEN = rf"\A[{_BLANK}]|[{_BLANK}]\z|[{_BLANK}][{_BLANK}]|[{_OTHER}]"
+#: Letters that every table of letters has; signs behind one are a piece of their own.
+_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+_TAIL = "[" + "".join(f"\\{c}" for c in _SIGNS) + "]+"
+#: Words that the library is asked for in one text.
+_TOGETHER = 2000
+
+
 class Encoder:
-    def __init__(self, path: str, keeps_blank: bool, size: int = 800_000, longest: int = 64):
+    """keeps_blank: whether a blank belongs to the word after it."""
+
+    def __init__(self, path: str, keeps_blank: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.keeps_blank, self.size, self.longest = keeps_blank, size, longest
-        # Between words asked for together stands what is one id by itself and is in none of them.
+        self.keeps_blank = keeps_blank
+        # Before each of the words asked for together stands what is one id by itself and is in none of them.
         self.mark = "\n" if keeps_blank else "\x01"
         mark_ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = mark_ids[0] if len(mark_ids) == 1 else None
-        self.newline = np.asarray(mark_ids, "<u4").tobytes()
-        #: ids of words at the start of a line, and of words after a blank
-        self.plain: dict[str, bytes] = {"": b""}
-        self.after_blank: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def _together(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words without white space inside: 2000 go as one text, which costs less than one by one."""
-        glue, out = self.mark if self.keeps_blank else f" {self.mark} ", {}
-        plain = [w for w in words if self.mark not in w and "<|" not in w] if self.mark_id is not None else []
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.frombuffer(self._ask([glue.join(part)])[0], "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) == len(part) - 1:
-                raw, begins, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-                out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, begins, ends, strict=True))
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self._ask(rest), strict=True))
-        return out
-
-    def _learn(self, words: set[str], memory: dict[str, bytes], blank: str) -> list[str]:
-        """Put words into memory, and return them. Signs at a word's end are asked for by themselves."""
-        new, ends = [w for w in words if w not in memory], {}
-        for w in new:
-            if w[-1] in _SIGNS and "<|" not in w and (stem := w.rstrip(_SIGNS)) and stem[-1].isalpha():
-                ends[w] = stem
-        stems, tails = {*ends.values()}.difference(memory), {w[len(s) :] for w, s in ends.items()}.difference(self.plain)
-        asked = {*stems, *(w for w in new if w not in ends)}
-        got = self._together([blank + w for w in asked] + list(tails))
-        self.plain.update((w, got[w]) for w in tails)
-        memory.update((w, got[blank + w]) for w in asked)
-        memory.update((w, memory[s] + self.plain[w[len(s) :]]) for w, s in ends.items())
-        return [*new, *stems]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        for memory in (self.plain, self.after_blank):
-            if len(memory) > self.size:
-                memory.clear()
-                memory.update({"": b""} if memory is self.plain else {})
+        self.newline = np.asarray(mark_ids, "<u4").tobytes() if keeps_blank else b""
+        #: words that the library was asked for
+        self.asked = 0
+
+    def _ask(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, words: pa.Array) -> pa.LargeBinaryArray:
+        """Ids of distinct words. The signs at a word's end are asked for apart, each kind of them once."""
+        special = pc.or_(pc.match_substring(words, "<|"), pc.match_substring(words, "\x01"))
+        ends = pc.and_(pc.match_substring_regex(words, f"{_LETTER}{_TAIL}\\z"), pc.invert(special))
+        stems = pc.if_else(ends, pc.replace_substring_regex(words, f"{_TAIL}\\z", ""), words).dictionary_encode()
+        tails = pc.if_else(ends, pc.replace_substring_regex(words, f"(?s)\\A.*{_LETTER}", ""), "").dictionary_encode()
+        stem, tail = self._asked(stems.dictionary).take(stems.indices), self._asked(tails.dictionary, True).take(tails.indices)
+        return pc.binary_join_element_wise(stem, tail, pa.scalar(b"", pa.large_binary()))
+
+    def _asked(self, words: pa.Array, bare: bool = False) -> pa.LargeBinaryArray:
+        """Ids of words by the library; bare ones have neither blank nor line end before them."""
+        self.asked += len(words)
+        if not self.keeps_blank:
+            forms = words
+            texts = pc.binary_join_element_wise(self.mark, words, "", " ")
+            with_mark = np.zeros(len(words), bool)
+        else:
+            first = pc.starts_with(words, "\n")
+            with_mark = np.asarray(first)
+            forms = words if bare else pc.if_else(first, words, pc.binary_join_element_wise("", words, " "))
+            texts = pc.if_else(first, words, pc.binary_join_element_wise("", forms, "\n"))
+        alone = pc.or_(pc.match_substring(words, "<|"), pc.match_substring(forms, "\x01"))
+        alone = np.asarray(pc.or_(alone, pc.equal(pc.binary_length(words), 0))) | (self.mark_id is None) | (with_mark & np.asarray(pc.equal(words, "\n")))
+        together, parts, sizes = np.flatnonzero(~alone), [], np.zeros(len(words), np.int64)
+        order = [together]
+        for a in range(0, len(together), _TOGETHER):
+            of = together[a : a + _TOGETHER]
+            ids = self._ask(["".join(texts.take(pa.array(of)).to_pylist())])[0]
+            at = np.flatnonzero(ids == self.mark_id)
+            if len(at) != len(of):  # a mark that isn't one id by itself after all
+                alone[of] = True
+                continue
+            keep = np.ones(len(ids), bool)
+            keep[at[~with_mark[of]]] = False
+            sizes[of] = np.diff(np.append(at, len(ids))) - ~with_mark[of]
+            parts.append(ids[keep])
+        order = np.concatenate([together[~alone[together]], rest := np.flatnonzero(alone)])
+        for i, ids in zip(rest.tolist(), self._ask(forms.take(pa.array(rest)).to_pylist()), strict=True):
+            sizes[i] = len(ids)
+            parts.append(ids)
+        back = np.empty(len(words), np.int64)
+        back[order] = np.arange(len(words))
+        return _binary(np.concatenate([np.empty(0, "<u4"), *parts]), sizes[order]).take(pa.array(back))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Arrow cuts the texts into words, numbers the distinct ones and puts their ids side by side; the library is
+        asked for each of those once. No Python object is made for a word."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.keeps_blank:
-            parts = [text.replace("\n", " ").split(" ") for text in texts]
-            new = self._learn(set(chain.from_iterable(parts)), self.plain, "")
-            out = [b"".join(map(self.plain.__getitem__, p)) for p in parts]
-            self._trim(self.plain, new)
-            return out
-        lines = [[line.split(" ") for line in text.split("\n")] if _even(text) else None for text in texts]
-        first = self._learn({x[0] for t in lines if t for x in t}, self.plain, "")
-        after = self._learn({w for t in lines if t for x in t for w in x[1:]}, self.after_blank, " ")
-        whole = iter(self._ask([t for t, x in zip(texts, lines, strict=True) if x is None]))
-        plain, get = self.plain, self.after_blank.__getitem__
-        out = [next(whole) if t is None else self.newline.join([plain[x[0]] + b"".join(map(get, x[1:])) for x in t]) for t in lines]
-        self._trim(self.plain, first)
-        self._trim(self.after_blank, after)
-        return out
-
-    def _trim(self, memory: dict[str, bytes], words: list[str]) -> None:
-        for w in words:
-            if len(w) > self.longest:
-                memory.pop(w, None)
-
-
-def _even(text: str) -> bool:
-    """No white space but single blanks and line ends, none at the text's ends."""
-    words, n = text.split(), text.count(" ") + text.count("\n")
-    return not text or (len(words) == n + 1 and sum(map(len, words)) + n == len(text))
+            return self._joined(pc.replace_substring(texts, "\n", " "))
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        if not pc.any(uneven).as_py():
+            return self._joined(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""))
+        whole = iter(self._ask(texts.filter(uneven).to_pylist()))
+        even = iter(self.encode(texts.filter(pc.invert(uneven))))
+        return [next(whole).tobytes() if x else next(even) for x in uneven.to_pylist()]
+
+    def _joined(self, texts: pa.Array) -> list[bytes]:
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1]
+        cuts, data = ends[lists.offsets.to_numpy()].tolist(), ids.buffers()[2]
+        skip = len(self.newline)
+        return [data[a + skip : b].to_pybytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _binary(ids: np.ndarray, sizes: np.ndarray) -> pa.LargeBinaryArray:
+    """One binary value for each run of sizes ids."""
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(4 * sizes, out=offsets[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
 
 
 _MADE: dict = {}
 
 
 def worker(path: str, keeps_blank: bool) -> Encoder:
-    """One encoder for each Python worker: its memory lives on from task to task."""
+    """One encoder for each Python worker."""
     if path not in _MADE:
         _MADE[path] = Encoder(path, keeps_blank)
     return _MADE[path]

@@ -47,9 +47,9 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, slack: float)
         encoder, task, end = library.worker(path, False), TaskContext.get().partitionId(), np.uint32(end_id).tobytes()
         seen = [0] * (capacity + 1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(at, 512), []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
+            for part in base.sliced(batch):
+                rows = []
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text")), strict=True):
                     ids += end
                     start = 0
                     for n in cuts(len(ids) // 4, capacity, slack):
