@@ -139,11 +139,37 @@ def test_files(spark, odd, nothing, library_ids):
     assert [r.doc_id for r in rows] == [i for i, _ in keyed]
     assert [bytes(r.ids) for r in rows] == [np.array([*library_ids(t), 2], "<u4").tobytes() for _, t in keyed]
     assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+    whole = b"".join(bytes(r.ids) for r in rows)
+    for first, last in ((0, 10**9), (5, 6), (300, 1111), (10**9, 10**9 + 1)):
+        parts = sorted(idfiles.ids_between(spark, folder, first, last).collect(), key=lambda r: r.start)
+        assert b"".join(bytes(r.ids) for r in parts) == whole[4 * first : 4 * last]
     empty = base.scratch(spark, "ids")
     idfiles.write_ids(nothing, BYTE, True, 2, empty)
     assert idfiles.read_digests(spark, empty).count() == 0
 
 
+def test_words_are_asked_for_once():
+    e = library.Encoder(BYTE, True, size=1000)
+    texts = [" ".join(f"w{(i * 7 + j) % 400}" for j in range(50)) for i in range(300)]
+    want = [np.array(_TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode(texts) == want
+    asked = e.asked
+    assert asked <= 900 and e.encode(texts) == want and e.asked == asked
+    rare = library.Encoder(BYTE, True, size=10)  # generations change all the time
+    assert [rare.encode([t])[0] for t in texts] == want
+
+
+def test_files_with_a_repeated_id(spark):
+    rows = [(7, f"text {i}") for i in range(60)] + [(None, "n"), (None, None), (1, "one")]
+    folder = base.scratch(spark, "ids")
+    idfiles.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, True, 2, folder)
+    got = sorted(idfiles.read_digests(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1] + [7] * 60
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    crc = lambda t: zlib.crc32(np.array([*_TOKENIZER.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted(r.ids_crc32 for r in got) == sorted(crc(t) for _, t in rows)
+
+
 # ------------------------------------------------------------ exact duplicates
 
 

@@ -83,7 +83,7 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, size: str, rows: int)
     return left.join(hot, key).unionByName(rest.join(right.filter(F.col(size) <= bound).hint("merge"), key))
 
 
-def sliced(batch: pa.RecordBatch, size: int = 32_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Rows of a batch, in order, in slices of about size bytes of text (one row at least)."""
     ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text"))), dtype=np.int64)
     a = 0

@@ -20,6 +20,7 @@ FITTING = 0.9
 #: Ids after which a task begins a new file image.
 IMAGE_IDS = 2_000_000
 MAGIC = b"PFR1"
+_IMAGES = "task int, image int, n_ids long, docs array<long>, lengths binary, ids binary"
 
 _HEAD = np.dtype([("magic", "S4"), ("values", "<u8"), ("blocks", "<u4")])
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
@@ -116,7 +117,10 @@ def write_ids(docs: DataFrame, path: str, keeps_blank: bool, end_id: int, folder
 
     One row of the Parquet container is one image: task and image number (their order is that of the
     documents), doc ids, and two streams: lengths and ids. Executors need nothing but Spark's writer, so the
-    folder may be in any store. Null text: empty; null ids come first; rows with equal ids keep together."""
+    folder may be in any store. Null text: empty; null doc_ids come first; rows of one doc_id stand in the order
+    of a hash of their text, which deals them over tasks too. Rows equal in both land in one task. Other columns are
+    ignored; an empty table gives an empty folder. The ids of one document must fit a Parquet cell (2 GB packed,
+    about 2 GB of text); a longer text fails, it is never cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, end, image = library.worker(path, keeps_blank), TaskContext.get().partitionId(), np.uint32(end_id).tobytes(), 0
@@ -139,8 +143,9 @@ def write_ids(docs: DataFrame, path: str, keeps_blank: bool, end_id: int, folder
         if docs:
             yield made()
 
-    ordered = base.texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    images = ordered.mapInArrow(run, "task int, image int, n_ids long, docs array<long>, lengths binary, ids binary")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = base.texts(docs).repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    images = ordered.mapInArrow(run, _IMAGES)
     images.write.option("compression", "none").parquet(folder)
 
 
@@ -154,12 +159,39 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "ids_crc32 long", lambda x: (zlib.crc32(x), pa.int64()))
 
 
+def _starts(images: DataFrame) -> DataFrame:
+    """task, image, first: the place of each image's first id among all ids. Sums of whole tasks are added up first, one
+    row a task; images of a task follow beside each other."""
+    each = images.select("task", "image", "n_ids")
+    up_to = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    tasks = each.groupBy("task").agg(F.sum("n_ids").alias("n_ids")).select("task", up_to(Window.orderBy("task")).alias("before"))
+    inside = each.select("task", "image", up_to(Window.partitionBy("task").orderBy("image")).alias("inside"))
+    return inside.join(tasks, "task").select("task", "image", (F.col("before") + F.col("inside")).alias("first"))
+
+
+def ids_between(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
+    """start, ids (little-endian unsigned 32-bit) of the places first to last (without it) among all ids, one row an
+    image that has some of them: other images are left out before their streams are read, and of a stream only the
+    blocks that the index gives are decoded."""
+    images = spark.read.schema(_IMAGES).parquet(folder)
+    there = base.saved(_starts(images), "starts").join(images.select("task", "image", "n_ids"), ["task", "image"])
+    there = there.filter((F.col("first") < last) & (F.col("first") + F.col("n_ids") > first)).select("task", "image", F.col("first").alias("begin"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = max(0, first - row["begin"]), last - row["begin"]
+                at = a // BLOCK
+                part = unpacked(row["ids"], at, -(-b // BLOCK))[a - at * BLOCK : b - at * BLOCK]
+                yield pa.record_batch([pa.array([row["begin"] + a], pa.int64()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["start", "ids"])
+
+    found = images.select("task", "image", "ids").join(there, ["task", "image"])
+    return found.select("ids", "begin").mapInArrow(run, "start long, ids binary")
+
+
 def _read(spark: SparkSession, folder: str, last: str, digest) -> DataFrame:
-    images = spark.read.schema("task int, image int, n_ids long, docs array<long>, lengths binary, ids binary").parquet(folder)
-    # One small row an image (2,000,000 ids): its start among all ids.
-    before = Window.orderBy("task", "image").rowsBetween(Window.unboundedPreceding, -1)
-    starts = images.select("task", "image", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")).alias("first"))
-    starts = base.saved(starts, "starts")  # small, and known to be: the images needn't be shuffled to meet it
+    images = spark.read.schema(_IMAGES).parquet(folder)
+    starts = base.saved(_starts(images), "starts")  # one row an image; the images needn't be shuffled to meet it
     kind, name = digest(b"")[1], last.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

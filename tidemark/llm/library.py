@@ -1,4 +1,5 @@
-"""Ids as the tokenizers library gives them, asked for once for each distinct word of a slice of texts.
+"""Ids as the tokenizers library gives them, asked for once for each distinct word of a slice of texts
+that a bounded memory doesn't hold.
 
 A text is cut at blanks, where the tokenizer cuts it in any case. ``keeps_blank`` says whether a blank belongs to
 the word after it (byte-level vocabularies) or is dropped (vocabularies with word ends).
@@ -32,13 +33,18 @@ _TOGETHER = 2000
 
 
 class Encoder:
-    """keeps_blank: whether a blank belongs to the word after it."""
+    """keeps_blank: whether a blank belongs to the word after it. size: words remembered in each of two generations, as
+    Arrow arrays. longest: bytes of a word that is remembered."""
 
-    def __init__(self, path: str, keeps_blank: bool):
+    def __init__(self, path: str, keeps_blank: bool, size: int = 500_000, longest: int = 64):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.keeps_blank = keeps_blank
+        self.keeps_blank, self.size, self.longest = keeps_blank, size, longest
+        none = (pa.array([], pa.string()), pa.array([], pa.large_binary()))
+        #: by whether they are bare: words and ids of the newer and of the older generation
+        self.memory = {bare: (none, none) for bare in (False, True)}
+        self.none = none
         # Before each of the words asked for together stands what is one id by itself and is in none of them.
         self.mark = "\n" if keeps_blank else "\x01"
         mark_ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
@@ -56,10 +62,28 @@ class Encoder:
         ends = pc.and_(pc.match_substring_regex(words, f"{_LETTER}{_TAIL}\\z"), pc.invert(special))
         stems = pc.if_else(ends, pc.replace_substring_regex(words, f"{_TAIL}\\z", ""), words).dictionary_encode()
         tails = pc.if_else(ends, pc.replace_substring_regex(words, f"(?s)\\A.*{_LETTER}", ""), "").dictionary_encode()
-        stem, tail = self._asked(stems.dictionary).take(stems.indices), self._asked(tails.dictionary, True).take(tails.indices)
+        stem, tail = self._known(stems.dictionary, False).take(stems.indices), self._known(tails.dictionary, True).take(tails.indices)
         return pc.binary_join_element_wise(stem, tail, pa.scalar(b"", pa.large_binary()))
 
-    def _asked(self, words: pa.Array, bare: bool = False) -> pa.LargeBinaryArray:
+    def _known(self, words: pa.Array, bare: bool) -> pa.LargeBinaryArray:
+        """Ids of distinct words: remembered, or else asked for."""
+        (newer, ids), (older, older_ids) = self.memory[bare]
+        at = pc.index_in(words, newer)
+        left = words.filter(at.is_null())
+        before = pc.index_in(left, older)
+        found, new = before.is_valid(), left.filter(before.is_null())
+        more = pa.concat_arrays([left.filter(found), new])
+        more_ids = pa.concat_arrays([older_ids.take(before.drop_null()), self._asked(new, bare)])
+        found = np.asarray(found)
+        index = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        index[index < 0] = len(newer) + np.where(found, np.cumsum(found) - 1, found.sum() + np.cumsum(~found) - 1)
+        out = pa.concat_arrays([ids, more_ids]).take(pa.array(index))
+        short = pc.less_equal(pc.binary_length(more), self.longest)
+        now = (pa.concat_arrays([newer, more.filter(short)]), pa.concat_arrays([ids, more_ids.filter(short)]))
+        self.memory[bare] = (self.none, now) if len(now[0]) > self.size else (now, (older, older_ids))
+        return out
+
+    def _asked(self, words: pa.Array, bare: bool) -> pa.LargeBinaryArray:
         """Ids of words by the library; bare ones have neither blank nor line end before them."""
         self.asked += len(words)
         if not self.keeps_blank:
@@ -98,7 +122,7 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
         Arrow cuts the texts into words, numbers the distinct ones and puts their ids side by side; the library is
-        asked for each of those once. No Python object is made for a word."""
+        asked for those that it hasn't been asked for lately. No Python object is made for a word."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.keeps_blank:
             return self._joined(pc.replace_substring(texts, "\n", " "))
@@ -132,7 +156,7 @@ _MADE: dict = {}
 
 
 def worker(path: str, keeps_blank: bool) -> Encoder:
-    """One encoder for each Python worker."""
+    """One encoder for each Python worker: its memory lives on from task to task."""
     if path not in _MADE:
         _MADE[path] = Encoder(path, keeps_blank)
     return _MADE[path]
