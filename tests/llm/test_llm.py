@@ -187,10 +187,33 @@ def test_exact(odd, nothing):
 def test_index_outlives_its_handle(spark):
     folder = base.scratch(spark, "index")
     one = exact.DigestIndex(spark, folder, 4)
-    one.ingest(spark.createDataFrame([(b"a", 1), (b"a", 2), (b"b", 3)], "digest binary, doc_id long"))
-    two = exact.DigestIndex(spark, folder, 4)
-    two.ingest(spark.createDataFrame([(b"b", 9), (b"c", 4)], "digest binary, doc_id long"))
-    assert sorted((bytes(r.digest), r.keep_id, r.group_size) for r in two.rows().collect()) == [(b"a", 2, 2), (b"b", 3, 1), (b"c", 4, 1)]
+    one.ingest(spark.createDataFrame([(b"a", 2), (b"b", 3)], "digest binary, keep_id long"))
+    before = one.rows()
+    one.close()
+    two = exact.DigestIndex(spark, folder)
+    assert two.buckets == 4
+    two.ingest(spark.createDataFrame([(b"b", 9), (b"c", 4)], "digest binary, keep_id long"))
+    assert sorted((bytes(r.digest), r.keep_id) for r in two.rows().collect()) == [(b"a", 2), (b"b", 3), (b"c", 4)]
+    assert before.count() == 2
+    two.close()
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact.DigestIndex(spark, folder, 3)
+
+
+def test_later_batches(spark):
+    folder, conf = base.scratch(spark, "index"), spark.conf.get("spark.sql.shuffle.partitions")
+    batch = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    read = lambda rows: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(batch(rows), folder).collect())
+    first = [(1, "hello"), (2, "x"), (3, "X"), *((10 + i, f"t{i}") for i in range(10))]
+    want = sorted([(1, 1, 1, True), (2, 3, 2, False), (3, 3, 2, True), *((10 + i, 10 + i, 1, True) for i in range(10))])
+    try:
+        assert read(first) == want
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        assert read(first) == want
+        assert read([(9, "HELLO"), (8, "hello"), (7, "new"), *((50 + i, f"t{i}") for i in range(10))]) == sorted([(9, 1, 2, False), (8, 1, 2, False), (7, 7, 1, True), *((50 + i, 10 + i, 1, False) for i in range(10))])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", conf)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
 
 
 def test_hot_keys_are_looked_up(spark):
@@ -243,24 +266,40 @@ def corpus(seed=0, bases=40):
     return [(int(i), out[k]) for i, k in enumerate(order)]
 
 
-def test_near(spark, odd, nothing):
-    rows = corpus(1)
-    sets = {}
-    for i, t in rows:
+def linked(texts, words):
+    """Shingle sets, and the smallest place of each one's component, by brute force."""
+    sets, parent = [], list(range(len(texts)))
+    for t in texts:
         w = t.lower().encode().split()
-        sets[i] = {tuple(w[j : j + 4]) for j in range(len(w) - 3)} or {tuple(w)}
-    parent = {i: i for i in sets}
-    find = lambda x: x if parent[x] == x else find(parent[x])
-    for i in sets:
-        for j in sets:
-            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-    got = {r.doc_id: r for r in near.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+        sets.append({tuple(w[j : j + words]) for j in range(len(w) - words + 1)} or ({tuple(w)} if w else set()))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and min(len(sets[i]), len(sets[j])) * 100 >= 80 * max(len(sets[i]), len(sets[j])):
+                same = len(sets[i] & sets[j])
+                if 100 * same >= 80 * (len(sets[i]) + len(sets[j]) - same) and find(i) != find(j):
+                    a, b = sorted((find(i), find(j)))
+                    parent[b] = a
+    return sets, [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_near(spark, odd, nothing, words):
+    rows = sorted(corpus(1))
+    sets, root = linked([t for _, t in rows], words)
+    find = root.__getitem__
+    sets = dict(enumerate(sets))
+    forest = near.Forest(words=words)
+    got = {r.doc_id: r for r in near.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), forest).collect()}
     assert {i: r.component_id for i, r in got.items()} == {i: find(i) for i in sets}
     assert all(r.n_shingles == len(sets[i]) and r.kept == (i == r.component_id) for i, r in got.items())
     assert len(set(map(find, sets))) < len(sets) - 30
-    odd_rows = near.near_dedup(odd).collect()
+    odd_rows = near.near_dedup(odd, forest).collect()
     assert len(odd_rows) == len(ODD)
     assert {(r.doc_id, r.component_id, r.kept) for r in odd_rows if r.doc_id in (7, 8, 9, None)} == {(7, 7, True), (8, 7, False), (9, 7, False), (None, 7, False)}
     assert {(r.doc_id, r.n_shingles, r.kept) for r in odd_rows if r.doc_id in (2, 3, 4)} == {(2, 0, True), (3, 0, True), (4, 0, True)}
@@ -279,12 +318,37 @@ def test_near_hub(spark):
     """2000 copies, each similar enough to the original (0.85) and to no other copy (0.72)."""
     words = [f"v{i}" for i in range(400)]
     rows = [(i, " ".join(words if i == 1000 else scattered(words, 8, i))) for i in range(2001)]
-    hub = near.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    forest = near.Forest(words=4)
+    hub = near.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), forest).collect()
     assert len(hub) == 2001 and {r.component_id for r in hub} == {0}
-    none = near.near_dedup(spark.createDataFrame(rows[:400], "doc_id long, text string").repartition(5)).collect()
+    none = near.near_dedup(spark.createDataFrame(rows[:400], "doc_id long, text string").repartition(5), forest).collect()
     assert len(none) == 400 and all(r.kept for r in none)
 
 
+def test_near_dense_groups(spark):
+    """Two groups of 220 texts near the threshold, where most pairs of a group have nearly 0.8 in common."""
+    rng, texts = np.random.default_rng(3), []
+    for g in range(2):
+        words = [f"g{g}v{i}" for i in range(150)]
+        texts += [" ".join(scattered(words, int(rng.integers(2, 5)), 1000 * g + i)) for i in range(220)]
+    _, root = linked(texts, 4)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near.near_dedup(rows, near.Forest(words=4)).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
+def test_near_rows_with_one_id(spark):
+    words = [f"v{i}" for i in range(60)]
+    near_copy = [*words[:-1], "other"]
+    rows = [(5, " ".join(words)), (5, "quite another text that has nothing to do with it"), (7, " ".join(near_copy)), (None, " ".join(words)), (9, None), (9, ""), (None, "alone with no id at all here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near.near_dedup(df).collect()), key=str)
+    assert got == sorted([(5, 5, True), (5, 5, True), (7, 5, False), (None, 5, False), (9, 9, True), (9, 9, True), (None, None, False)], key=str)
+    left = near.without_near(df.withColumn("row", F.lit("x")))
+    assert left.columns == ["doc_id", "text", "row"]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([rows[0], rows[1], *rows[4:]], key=str)
+
+
 # ------------------------------------------------------------ substrings
 
 

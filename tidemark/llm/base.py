@@ -32,6 +32,19 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+def numbered(docs: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, str]:
+    """docs (columns of it, if given) with a number for each row, saved, and the name of that column, which no column of
+    docs has. Rows may share a doc_id, or have none: what is decided by row is decided for that row alone."""
+    names = {c.lower() for c in docs.columns}
+    row = next(n for n in (f"row{'_' * i}" for i in range(len(names) + 1)) if n not in names)
+    return saved(docs.select(F.monotonically_increasing_id().alias(row), *(columns or docs.columns)), "rows"), row
+
+
+def row_texts(rows: DataFrame, row: str) -> DataFrame:
+    """row, doc_id and text alone (null text: empty) of what numbered() returned."""
+    return rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(rows["text"], F.lit("")).alias("text"))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, which driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)

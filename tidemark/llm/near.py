@@ -24,17 +24,16 @@ PART = 1 << 18
 class Forest:
     """words: in a shingle. percent: least Jaccard similarity, in hundredths. trees: sorted orders. depth: hashes
     in a tree's label. shallow: least common prefix of a candidate pair. reach: neighbours on each side of a
-    document in each order; regions of more than reach + 1 documents are then compared in full. least_match: share of equal hashes under which a pair of documents of more than
-    small shingles isn't confirmed (at 0.8 similarity six standard deviations below the mean)."""
+    document in each order; regions of more than reach + 1 documents are then compared in full. miss: chance that a
+    pair of neighbours of enough similarity isn't confirmed, whatever the sizes of the sets."""
 
-    words: int = 4
+    words: int = 5
     percent: int = 80
     trees: int = 16
     depth: int = 12
     shallow: int = 4
     reach: int = 4
-    least_match: float = 0.62
-    small: int = 100
+    miss: float = 1e-6
 
     def shingles(self, text: str) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the shingles: A-Z lower-cased, words cut at ASCII white space."""
@@ -46,7 +45,7 @@ class Forest:
     def signature(self, shingles: np.ndarray) -> bytes:
         """One-permutation MinHash: the least hash in each of trees * depth equal ranges, 16 bits of it; an empty
         range takes that of the next range that has one, and the distance to it. Big-endian, so that
-        the order of bytes is that of hashes."""
+        the order of bytes is that of hashes. A bit a range follows: whether it isn't empty."""
         n = self.trees * self.depth
         bounds = (np.arange(n + 1, dtype=object) * (1 << 64) // n)[:-1].astype(np.uint64)
         at = np.searchsorted(shingles, bounds)
@@ -55,20 +54,20 @@ class Forest:
         source = where[np.searchsorted(where, np.arange(n)) % len(where)]
         away = (source - np.arange(n)) % n
         value = base.mixed(shingles[at[source]]) + away.astype(np.uint64) * np.uint64(40503)
-        return (value & np.uint64(0xFFFF)).astype(">u2").tobytes()
+        return (value & np.uint64(0xFFFF)).astype(">u2").tobytes() + np.packbits(full).tobytes()
 
-    def sketches(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_shingles, key (digest of the set; null if empty), signature."""
+    def sketches(self, rows: DataFrame) -> DataFrame:
+        """row, doc_id, n_shingles, key (digest of the set; null if empty), signature of rows(row, doc_id, text)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets = list(map(self.shingles, batch.column("text").to_pylist()))
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 signed = [self.signature(s) if len(s) else None for s in sets]
-                cols = [batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())]
-                yield pa.record_batch(cols, ["doc_id", "n_shingles", "key", "signature"])
+                cols = [batch.column("row"), batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())]
+                yield pa.record_batch(cols, ["row", "doc_id", "n_shingles", "key", "signature"])
 
-        return base.texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key binary, signature binary")
+        return rows.mapInArrow(run, "row long, doc_id long, n_shingles long, key binary, signature binary")
 
     def candidates(self, signed: DataFrame) -> DataFrame:
         """a < b: neighbours in a tree's sorted order with a common prefix of shallow hashes at least.
@@ -180,7 +179,11 @@ class Forest:
         return [u, v]
 
     def promising(self, pairs: DataFrame, signed: DataFrame) -> DataFrame:
-        """a, b, match: pairs whose sizes and signatures allow the similarity."""
+        """a, b, match: pairs whose sizes and signatures allow the similarity.
+
+        Among the ranges in which either set has a hash, the share with equal least hashes has the similarity as its
+        mean; a share of m ranges falls t below it with a chance of exp(-2 m t^2) at most (Hoeffding, which
+        holds for draws without replacement too), so the least share asked for follows from m and miss."""
         one = signed.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("s_a"))
         two = signed.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("s_b"))
         both = pairs.join(one, "a").join(two, "b")
@@ -191,22 +194,25 @@ class Forest:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                s_a, s_b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(-1, n) for c in ("s_a", "s_b"))
-                match = (s_a == s_b).mean(axis=1)
-                ok = (match >= self.least_match) | (np.maximum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) <= self.small)
+                raw = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("s_a", "s_b")]
+                s_a, s_b = (np.ascontiguousarray(x[:, : 2 * n]).view(">u2") for x in raw)
+                f_a, f_b = (np.unpackbits(x[:, 2 * n :], axis=1, count=n).astype(bool) for x in raw)
+                m = (f_a | f_b).sum(axis=1)
+                match = ((s_a == s_b) & f_a & f_b).sum(axis=1) / m
+                ok = match >= self.percent / 100 - np.sqrt(np.log(1 / self.miss) / (2 * m))
                 yield pa.record_batch([c.filter(pa.array(ok)) for c in (batch.column("a"), batch.column("b"), pa.array(match))], ["a", "b", "match"])
 
         return both.mapInArrow(run, "a long, b long, match double")
 
-    def sets(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
-        """rep, shingles (64-bit hashes, ascending) of the documents in ids(rep)."""
+    def sets(self, rows: DataFrame, reps: DataFrame) -> DataFrame:
+        """rep, shingles (64-bit hashes, ascending) of the rows in reps(rep)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 made = [self.shingles(t).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.record_batch([batch.column("rep"), pa.array(made, pa.binary())], ["rep", "shingles"])
 
-        whole = base.texts(docs).withColumnRenamed("doc_id", "rep").join(ids.hint("merge"), "rep")
+        whole = rows.select(F.col("row").alias("rep"), "text").join(reps.hint("merge"), "rep")
         return whole.mapInArrow(run, "rep long, shingles binary")
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,32 +233,22 @@ class Forest:
         return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "u long, v long")
 
 
-def near_dedup(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs(doc_id, text).
-
-    Documents with equal sets of shingles form a class, and its smallest doc_id stands for it from there on.
-    Pairs of neighbours in the forest are confirmed in two rounds: first the two best of each document, then
-    those that would join different components. Regions that have more documents than neighbours cover, and that
-    are still of several components, are then compared in full. Every pair with a common prefix of shallow
-    hashes in a tree is so either compared or known to lie within one component, whatever the size of its region.
-    Sets too small to be similar enough to any but an equal one take no part in this.
+def near_rows(rows: DataFrame, forest: Forest) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept, stays of rows(row, doc_id, text), which are read twice.
 
-    Null text, empty texts and texts of white space have no shingles: they link with nothing and are kept.
-    Equal rows repeated with their doc_id have one component; rows with a null doc_id get the component of their
-    class but never stand for it and aren't kept (component null if the class has no other rows). Other columns
-    are ignored; an empty table gives an empty result.
-    """
-    forest = forest or Forest()
-    sketch = base.saved(forest.sketches(docs), "sketches")
-    classes = base.saved(sketch.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    signed = sketch.withColumnRenamed("doc_id", "rep").join(classes.select("key", "rep"), ["key", "rep"])
-    able = signed.filter(100 * F.col("n_shingles") >= forest.percent * (F.col("n_shingles") + 1))
-    signed = base.saved(able.select("rep", "n_shingles", "signature").dropDuplicates(["rep"]), "signed")
+    stays holds for one row of each component: that of the smallest doc_id (null ones last), of equal ones that of the
+    smallest row; and for rows without shingles."""
+    sketch = base.saved(forest.sketches(rows), "sketches")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    classes = sketch.filter("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("rep"), first_row, F.count(F.lit(1)).alias("size"))
+    classes = base.saved(classes, "classes")
+    able = sketch.withColumnRenamed("row", "rep").filter(100 * F.col("n_shingles") >= forest.percent * (F.col("n_shingles") + 1))
+    signed = base.saved(able.join(classes.select("rep"), "rep").select("rep", "n_shingles", "signature"), "signed")
     pairs = base.saved(forest.promising(forest.candidates(signed), signed), "pairs")
     dense = base.saved(forest.dense(signed), "dense")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(dense.select("rep")).distinct()
-    sets = base.saved(forest.sets(docs, wanted), "sets")
-    base.release(docs.sparkSession)
+    sets = base.saved(forest.sets(rows, wanted), "sets")
+    base.release(rows.sparkSession)
 
     sides = pairs.union(pairs.select("b", "a", "match"))
     best = Window.partitionBy("a").orderBy(F.desc("match"), F.xxhash64(F.least("a", "b"), F.greatest("a", "b")))
@@ -275,13 +271,45 @@ def near_dedup(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
         found = base.saved(components(links.union(more)), "components")
     base.forget(sets)
 
-    classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = base.saved(classes.select("key", "size", F.coalesce("component", "rep").alias("component_id")), "classes")
-    whole = base.looked_up(sketch.filter("key IS NOT NULL").select("key", "doc_id", "n_shingles"), classes, "key", "size", sketch.count())
-    none = sketch.filter("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = whole.select("doc_id", "n_shingles", "component_id").unionByName(none)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    classes = base.saved(classes.select("key", "size", "component", "least"), "classes")
+    whole = classes.groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = base.looked_up(classes.drop("least"), base.saved(whole, "whole"), "component", "n", classes.count())
+    classes = base.saved(classes.select("key", "size", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first")), "classes")
+    out = base.looked_up(sketch.filter("key IS NOT NULL").select("key", "row", "doc_id", "n_shingles"), classes, "key", "size", sketch.count())
+    out = out.select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("first")).alias("stays"))
+    none = sketch.filter("key IS NULL").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return out.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def near_dedup(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of docs(doc_id, text); shingles are of five words unless
+    the forest says otherwise.
+
+    Rows with equal sets of shingles form a class, which one of them stands for.
+    Pairs of neighbours in the forest are confirmed in two rounds: first the two best of each class, then
+    those that would join different components. Regions that have more classes than neighbours cover, and that
+    are still of several components, are then compared in full. Every pair with a common prefix of shallow
+    hashes in a tree is so either compared or known to lie within one component, whatever the size of its region.
+    Sets too small to be similar enough to any but an equal one take no part in this.
+
+    Null text, empty texts and texts of white space have no shingles: they link with nothing and are kept.
+    Every row is a document of its own: rows that share a doc_id may lie in different components (component_id then
+    differs, and kept is true for each whose component has that id as its smallest). Rows with a null doc_id link like
+    others but aren't kept, and a component of such rows alone has a null id. Other columns are ignored; an empty
+    table gives an empty result.
+    """
+    rows, row = base.numbered(docs, ["doc_id", "text"])
+    return near_rows(base.row_texts(rows, row), forest or Forest()).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_near(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
+    """The rows of docs, with all columns, that stay: one of each component (see near_rows()), and all rows without
+    shingles; no column of docs can clash."""
+    rows, row = base.numbered(docs)
+    stays = near_rows(base.row_texts(rows, row), forest or Forest()).filter("stays").select(F.col("row").alias(row))
+    return rows.join(stays, row, "left_semi").select(docs.columns)
 
 
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(base.table(spark, sf_dir, "documents"))
+    return near_dedup(base.table(spark, sf_dir, "documents"), Forest(words=4))
