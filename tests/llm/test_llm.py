@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -377,11 +378,65 @@ def test_substrings(spark, monkeypatch, together, parts):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == removed(rows)
 
 
-def test_substrings_of_odd_rows(odd, nothing):
+def test_substrings_with_hot_minimizers(spark, monkeypatch):
+    """A passage that every document has, in other surroundings: each chunk has its minimizers."""
+    monkeypatch.setattr(substrings, "_TOGETHER", 1_500)
+    monkeypatch.setattr(substrings, "_HOT_ROWS", 3)
+    rng = np.random.default_rng(8)
+    line = [f"line{i}" for i in range(25)]
+    rows = []
+    for i in range(200):
+        words = [f"o{rng.integers(40)}" for _ in range(int(rng.integers(0, 40)))]
+        at = int(rng.integers(0, len(words) + 1))
+        rows.append((i, " ".join(words[:at] + line[: int(rng.integers(10, 26))] + words[at:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    hot = substrings._hot(df.select(F.col("doc_id").alias("row"), "doc_id", "text"), 13, 4)
+    assert len(hot) > 3
+    got = substrings.kept_digests(df).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == removed(rows)
+
+
+def test_substrings_believe_words_not_hashes(spark, monkeypatch):
+    """All windows collide: nothing that differs from its source may go."""
+    monkeypatch.setattr(base, "word_hashes", lambda words: np.full(len(words), 7, np.uint64))
+    chunk = substrings._Chunk(pa.array([0, 1, 2]), pa.array([0, 1, 2]), pa.array([" ".join(f"{c}{i}" for i in range(20)) for c in "aba"]), 13)
+    rows = substrings._Rows()
+    chunk.paths(rows, 4, np.empty(0, np.uint64))
+    done = [x for b in rows.batches() for x in b.to_pylist() if x["r"] is None and x["n"] and x["n"] > 0]
+    assert [(x["row"], x["first"], x["n"]) for x in done] == [(2, 0, 1)]  # the one window that the first of all equals
+    words = [b"w%d" % i for i in range(20)]
+    wrong = [{"first": 0, "n": 2, "digest": substrings._digest([b"x", *words[1:]], 0, 2, 13)}]
+    assert substrings._kept(words, wrong, 13) == words
+    assert substrings._kept(words, [{"first": 2, "n": 1, "digest": substrings._digest(words, 2, 1, 13)}], 13) == words[:2] + words[15:]
+
+
+def test_substrings_of_rows_with_one_id(spark):
+    w = [f"v{i}" for i in range(40)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w, "z"])), (2, "a b c"), (2, " ".join(w[5:30])), (None, " ".join(w)), (3, " ".join(w)), (3, " ".join(w))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substrings.kept_digests(df).collect()), key=str)
+    assert got == sorted([(1, 40, 0), (2, 41, 40), (2, 3, 0), (2, 25, 25), (None, 40, 0), (3, 40, 40), (3, 40, 40)], key=str)
+
+
+def test_substrings_of_a_very_long_text(spark):
+    """More than 2^24 words, most of them one passage again and again."""
+    n = (1 << 24) // 40 + 100
+    loop = " ".join(f"p{i}" for i in range(40))
+    df = spark.range(2).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit(loop + " "), n), F.concat(F.lit("end"), F.col("id").cast("string"))).alias("text"))
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.kept_digests(df).collect()}
+    assert got == {0: (40 * n + 1, 0), 1: (40 * n + 1, 40 * n)}
+
+
+def test_substrings_of_odd_rows(spark, odd, nothing):
     got = substrings.substring_dedup(odd).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.text) for r in got) == sorted((str(i), len(words_of(t)), 0, t or "") for i, t in ODD)
     assert substrings.kept_digests(nothing).count() == 0
-    assert substrings.without_repeats(odd).columns == odd.columns
+    assert substrings.without_repeats(nothing).count() == 0
+    w = " ".join(f"v{i}" for i in range(15))
+    clash = spark.createDataFrame([(1, w, "r", 1, "d"), (2, w + " tail", None, 2, "e"), (2, None, "x", 3, "f")], "doc_id long, text string, row string, spans int, _doc string")
+    left = substrings.without_repeats(clash)
+    assert left.columns == clash.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, w, "r", 1, "d"), (2, "tail", None, 2, "e"), (2, None, "x", 3, "f")], key=str)
 
 
 # ------------------------------------------------------------ vectors
@@ -479,3 +534,28 @@ def test_pipeline(spark):
     assert {r.doc_id: hashlib.sha256(b" ".join(words_of(r.text))).hexdigest() for r in short.collect()} == {i: x[2] for i, x in want.items()}
     packed = cp.STAGES[-1][1](spark, short, "")
     assert packed.select("doc_id").distinct().count() == short.count()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, repeated ids and rows, clashing names, an empty table."""
+    import corpus_pipeline as cp
+
+    w = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, "same", 4), (1, "other text", 10), (2, "SAME", 4), (3, "twice", 5), (3, "twice", 5), (4, None, 0), (4, "", 0), (None, "no id", 5), (None, w, 1), (5, w, 1), (6, w + " and a tail that is longer than all of it " * 3, 1), (7, " \t", 2)]
+    schema = "doc_id long, text string, n_chars long, row string, _doc int, spans int, kept string, digest string"
+    for name, data in (("odd", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        docs = spark.createDataFrame([(*r, "r", 1, 2, "k", "d") for r in data], schema)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        for stage, f in cp.STAGES[:-1]:
+            docs = base.saved(f(spark, docs, folder), stage)
+            assert docs.columns == ["doc_id", "text", "n_chars", "row", "_doc", "spans", "kept", "digest"]
+            if stage == "exact_dedup":
+                got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+                texts = {(1, "other text"), (2, "SAME"), (3, "twice"), (None, "no id"), (5, w), (6, rows[10][1]), (7, " \t")} if data else set()
+                assert {x for x in got if x[0] != 4} == texts and len([x for x in got if x[0] == 4]) == bool(data) and len(got) == len(texts) + bool(data)
+        if data:
+            assert {(r.doc_id, r.text) for r in docs.collect()} >= {(1, "other text"), (2, "SAME"), (3, "twice"), (5, w), (6, "and a tail that is longer than all of it and a tail that is longer than all of it and a tail that is longer than all of it")}
+        packed = cp.run(spark, folder)
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()

@@ -32,12 +32,23 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
-def numbered(docs: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, str]:
+def numbered(docs: DataFrame, columns: list[str] | None = None, bucketed: bool = False) -> tuple[DataFrame, str]:
     """docs (columns of it, if given) with a number for each row, saved, and the name of that column, which no column of
-    docs has. Rows may share a doc_id, or have none: what is decided by row is decided for that row alone."""
+    docs has. Rows may share a doc_id, or have none: what is decided by row is decided for that row alone.
+
+    bucketed: the rows move once, to buckets by their number, and stay there in every later join on it."""
     names = {c.lower() for c in docs.columns}
     row = next(n for n in (f"row{'_' * i}" for i in range(len(names) + 1)) if n not in names)
-    return saved(docs.select(F.monotonically_increasing_id().alias(row), *(columns or docs.columns)), "rows"), row
+    rows = docs.select(F.monotonically_increasing_id().alias(row), *(columns or docs.columns))
+    if not bucketed:
+        return saved(rows, "rows"), row
+    spark, name = docs.sparkSession, f"rows_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.repartition(n, row).write.bucketBy(n, row).format("parquet").option("compression", "zstd")
+    out.option("path", scratch(spark, "rows")).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # out of the catalogue; the files stay, and so does what was made of them
+    return table, row
 
 
 def row_texts(rows: DataFrame, row: str) -> DataFrame:
@@ -86,19 +97,20 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def looked_up(left: DataFrame, right: DataFrame, key: str, size: str, rows: int) -> DataFrame:
+def looked_up(left: DataFrame, right: DataFrame, key: str | list[str], size: str, rows: int) -> DataFrame:
     """left, with the columns of right by an equal key (inner); right has one row a key, and size holds the
     key's rows in left (or an upper bound of them that sums to rows at most). Keys with over HOT_SHARE of the
     rows, 1 / HOT_SHARE at most, are broadcast; the others meet in a sort-merge join without a hot key."""
     bound = max(1000, int(rows * HOT_SHARE))
     hot = F.broadcast(right.filter(F.col(size) > bound))
-    rest = left.join(F.broadcast(right.filter(F.col(size) > bound).select(key)), key, "left_anti")
+    keys = [key] if isinstance(key, str) else key
+    rest = left.join(F.broadcast(right.filter(F.col(size) > bound).select(*keys)), key, "left_anti")
     return left.join(hot, key).unionByName(rest.join(right.filter(F.col(size) <= bound).hint("merge"), key))
 
 
 def sliced(batch: pa.RecordBatch, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Rows of a batch, in order, in slices of about size bytes of text (one row at least)."""
-    ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text"))), dtype=np.int64)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)), dtype=np.int64)
     a = 0
     while a < batch.num_rows:
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))

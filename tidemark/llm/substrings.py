@@ -1,26 +1,30 @@
 """Operator 5: repeated passages, by De Bruijn compaction over windows of words.
 
-An edge is a window of k consecutive words. Consecutive windows of a document that share their least m-word
-hash (their minimizer) are compacted into one path. Paths meet by minimizer in a join of all documents:
+An edge is a window of k consecutive words. Consecutive windows of a row that share their least m-word hash (their
+minimizer) are compacted into one path. Paths of all rows are joined by minimizer:
 
 * one path content in the documents that have the minimizer: it doesn't branch, and the whole path repeats
   wherever it isn't in the smallest document;
 * several contents: it branches. Equal contents still settle as wholes; one copy of each is taken apart into
-  its edges, which meet by window.
+  its edges, which are joined by window.
 
-Edges and paths are equal when two independent hashes are (128 bits). A repeated span carries where it lies and
-the document it repeats.
+What a join finds is a span (first window, number of windows) of a row with the row and place that it repeats. Hashes
+only propose it: the words at the source's coordinates are read and digested, and a span counts where its own words
+have that digest. What repeats within the texts that a worker holds together is compared word by word there.
+
+Minimizers that many documents have are found on a sample of rows and taken to branch: that changes no result, and
+their paths needn't meet in one task. No size of a text or group is limited.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from hashlib import sha256
+from dataclasses import dataclass, field
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,25 +32,27 @@ from tidemark.llm import base
 
 _SECOND = 0xD6E8FEB86659FD93
 _STEP = np.uint64(0xA0761D6478BD642F)
-#: A span in one integer: first window << _LEN | windows.
-_LEN = 24
-_FOUND = "key long, r long, doc long, span long"
+_FOUND = "key long, r long, doc long, row long, first long, n long, hot boolean"
+#: What becomes of a span: it counts, its words are to be compared, it is to be taken apart, its minimizer is hot.
+SETTLED, CLAIMED, APART, HOT = range(4)
 #: Bytes of text that a worker looks at together.
 _TOGETHER = 4_000_000
+#: Rows that hot minimizers are looked for in, and the share (and number) of them from which one is hot.
+_SAMPLE, _HOT_SHARE, _HOT_ROWS = 20_000, 1 / 400, 20
 
 
 @dataclass
 class _Rows:
-    """Rows (key, r, doc, span) in the making. r null: settled here, to take apart (span < 0), or a minimizer that
-    branches here (no doc)."""
+    """Rows of _FOUND in the making. r null: settled here, to take apart (n < 0), or a minimizer that branches here (no
+    doc)."""
 
-    parts: list
+    parts: list = field(default_factory=list)
 
-    def add(self, key, r, doc, span) -> None:
-        n = len(key)
-        cols = [pa.array(np.ascontiguousarray(key).view(np.int64))]
-        cols += [pa.nulls(n, pa.int64()) if c is None else pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (r, doc, span)]
-        self.parts.append(pa.record_batch(cols, ["key", "r", "doc", "span"]))
+    def add(self, key, r, doc, row, first, n, hot: bool = False) -> None:
+        cols = [key, r, doc, row, first, n]
+        size = len(key)
+        cols = [pa.nulls(size, pa.int64()) if c is None else pa.array(np.ascontiguousarray(c).view(np.int64)) for c in cols]
+        self.parts.append(pa.record_batch([*cols, pa.repeat(pa.scalar(hot), size)], ["key", "r", "doc", "row", "first", "n", "hot"]))
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         yield from (p for p in self.parts if p.num_rows)
@@ -66,25 +72,36 @@ def _sorted_groups(*keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 class _Chunk:
-    """Windows of some documents."""
-
-    def __init__(self, docs: list[int], texts: list[str], k: int):
-        each = [(d, h) for d, t in zip(docs, texts, strict=True) if len(h := base.word_hashes(t.encode().split())) >= k]
-        self.k = k
-        self.ids = np.array([d for d, _ in each], np.int64)
-        sizes = np.array([len(h) for _, h in each], np.int64)
-        self.words = np.concatenate([h for _, h in each]) if each else np.empty(0, np.uint64)
-        ends = np.cumsum(sizes)
-        self.offset = ends - sizes
-        count = sizes - k + 1
-        #: of each window: its document (as a place in ids) and its first word
-        self.of = np.repeat(np.arange(len(each)), count)
-        first = np.cumsum(count) - count
-        self.pos = np.arange(count.sum()) - np.repeat(first, count)
-        self.at = self.pos + self.offset[self.of]
-        self.first = first
-        self.one = base.windows(self.words, k)[self.at] if len(self.at) else self.words
-        self.two = base.windows(self.words, k, _SECOND)[self.at] if len(self.at) else self.words
+    """Windows of some rows: their words as exact codes and as hashes."""
+
+    def __init__(self, rows: pa.Array, docs: pa.Array, texts: pa.Array, k: int):
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        codes, ends = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        if b"" in words:  # before and behind white space at a text's ends
+            full = codes != words.index(b"")
+            ends = np.append(0, np.cumsum(full))[ends]
+            codes = codes[full]
+        sizes = np.diff(ends).astype(np.int64)
+        self.k, self.codes, self.words = k, codes, base.word_hashes(words)[codes] if len(codes) else np.empty(0, np.uint64)
+        self.ids, self.docs = np.asarray(rows, np.int64), np.asarray(docs, np.int64)
+        count = np.maximum(sizes - k + 1, 0)
+        #: of each window: its row (as a place in ids), its first word in that row and in this chunk
+        self.of = np.repeat(np.arange(len(sizes)), count)
+        self.first = np.cumsum(count) - count
+        self.pos = np.arange(count.sum()) - np.repeat(self.first, count)
+        self.at = self.pos + ends[:-1].astype(np.int64)[self.of]
+        self.one = base.windows(self.words, k)[self.at] if len(self.at) else self.words[:0]
+        self.two = base.windows(self.words, k, _SECOND)[self.at] if len(self.at) else self.words[:0]
+
+    def equal(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether n windows from each of a have the words of those from b."""
+        size = n + self.k - 1
+        begin = np.cumsum(size) - size
+        step = np.arange(size.sum()) - np.repeat(begin, size)
+        same = self.codes[np.repeat(self.at[a], size) + step] == self.codes[np.repeat(self.at[b], size) + step]
+        return np.logical_and.reduceat(same, begin) if len(a) else np.empty(0, bool)
 
     def settled(self, rows: _Rows, starts: np.ndarray, lengths: np.ndarray) -> None:
         """Spans of windows (places in this chunk) that repeat a smaller document here: joined where they touch."""
@@ -97,25 +114,31 @@ class _Chunk:
         new[1:] = (a[1:] > reach[:-1]) | (of[1:] != of[:-1])
         cut = np.flatnonzero(new)
         a, b, of = a[cut], np.append(reach[cut[1:] - 1], reach[-1]), of[cut]
-        doc, pos = self.ids[of], self.pos[a]
-        rows.add(self._apart(doc, pos), None, doc, pos << _LEN | (b - a))
+        rows.add(self._apart(self.ids[of], self.pos[a]), None, self.docs[of], self.ids[of], self.pos[a], b - a)
 
     def edges(self, rows: _Rows, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows for single windows; returns those that repeat a smaller document of this chunk."""
-        order, (_, same, _) = _sorted_groups(self.one[which], self.two[which], self.ids[self.of[which]])
+        order, (_, same, _) = _sorted_groups(self.one[which], self.two[which], self.docs[self.of[which]])
         which = which[order]
-        doc = self.ids[self.of[which]]
         begin = np.flatnonzero(same)
-        least = np.repeat(doc[begin], np.diff(np.append(begin, len(doc))))
-        late = doc > least
+        source = np.repeat(which[begin], np.diff(np.append(begin, len(which))))
+        late = self._late(which, source, np.ones(len(which), np.int64))
         rest = which[~late]
-        rows.add(self.one[rest], self.two[rest], doc[~late], self.pos[rest] << _LEN | 1)
+        of = self.of[rest]
+        rows.add(self.one[rest], self.two[rest], self.docs[of], self.ids[of], self.pos[rest], np.ones(len(rest), np.int64))
         return which[late], np.ones(late.sum(), np.int64)
 
-    def paths(self, rows: _Rows, m: int) -> None:
-        """Rows for compacted paths; those that branch in this chunk are to be taken apart."""
+    def _late(self, which: np.ndarray, source: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Those of a larger document than their source's, with the source's words."""
+        late = self.docs[self.of[which]] > self.docs[self.of[source]]
+        at = np.flatnonzero(late)
+        late[at] = self.equal(which[at], source[at], n[at])
+        return late
+
+    def runs(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Compacted paths: minimizer, first window (place in this chunk) and number of windows."""
         if not len(self.at):
-            return
+            return self.words[:0], np.empty(0, np.int64), np.empty(0, np.int64)
         grams, width = base.windows(self.words, m), self.k - m + 1
         bits = np.uint64(max(20, len(self.words).bit_length()))
         low = (np.uint64(1) << bits) - np.uint64(1)
@@ -129,146 +152,230 @@ class _Chunk:
         new = np.ones(len(least), bool)
         new[1:] = (least[1:] != least[:-1]) | (self.of[1:] != self.of[:-1])
         start = np.flatnonzero(new)
-        length = np.diff(np.append(start, len(least)))
+        return grams[least[start]], start, np.diff(np.append(start, len(least)))
+
+    def paths(self, rows: _Rows, m: int, hot: np.ndarray) -> None:
+        """Rows for compacted paths; those that branch in this chunk are to be taken apart."""
+        key, start, length = self.runs(m)
+        if not len(key):
+            return
         with np.errstate(over="ignore"):
-            nth = (np.arange(len(least)) - np.repeat(start, length)).astype(np.uint64)
+            nth = (np.arange(len(self.at)) - np.repeat(start, length)).astype(np.uint64)
             content = np.add.reduceat(base.mixed(self.one + nth * _STEP) ^ self.two, start)
-        key, doc = grams[least[start]], self.ids[self.of[start]]
-        order, (by_key, by_content, _) = _sorted_groups(key, content, doc)
-        key, content, doc, start, length = key[order], content[order], doc[order], start[order], length[order]
+        order, (by_key, by_content, _) = _sorted_groups(key, content, self.docs[self.of[start]])
+        key, content, start, length = key[order], content[order], start[order], length[order]
+        of = self.of[start]
+        doc, row, pos = self.docs[of], self.ids[of], self.pos[start]
         begin = np.flatnonzero(by_content)
-        first = np.repeat(doc[begin], np.diff(np.append(begin, len(doc))))
-        late = doc > first
+        size = np.diff(np.append(begin, len(key)))
+        late = self._late(start, np.repeat(start[begin], size), length)
         groups = np.flatnonzero(by_key)
         sizes = np.diff(np.append(groups, len(key)))
-        branches = (np.add.reduceat(by_content, groups, dtype=np.int64) > 1) & (np.minimum.reduceat(doc, groups) < np.maximum.reduceat(doc, groups))
-        apart = np.repeat(branches, sizes)
-        plain = ~late & ~apart
-        rows.add(key[plain], content[plain], doc[plain], self.pos[start[plain]] << _LEN | length[plain])
-        rows.add(key[groups[branches]], None, None, None)
+        often = np.isin(key[groups], hot, kind="sort") if len(hot) else np.zeros(len(groups), bool)
+        branches = ~often & (np.add.reduceat(by_content, groups, dtype=np.int64) > 1) & (np.minimum.reduceat(doc, groups) < np.maximum.reduceat(doc, groups))
+        apart, known = np.repeat(branches, sizes), np.repeat(often, sizes)
+        for which, is_hot in ((~late & ~apart & ~known, False), (~late & known, True)):
+            rows.add(key[which], content[which], doc[which], row[which], pos[which], length[which], is_hot)
+        rows.add(key[groups[branches]], None, None, None, None, None)
         split = ~late & apart
-        at, pos = doc[split], self.pos[start[split]]
-        rows.add(self._apart(at, pos), None, at, -(pos << _LEN | length[split]))
+        rows.add(self._apart(row[split], pos[split]), None, doc[split], row[split], pos[split], -length[split])
         self.settled(rows, start[late], length[late])
 
     @staticmethod
-    def _apart(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    def _apart(row: np.ndarray, pos: np.ndarray) -> np.ndarray:
         """A key for a row that needs no other: evenly spread."""
         with np.errstate(over="ignore"):
-            return base.mixed(doc.view(np.uint64) * _STEP + pos.astype(np.uint64))
+            return base.mixed(row.view(np.uint64) * _STEP + pos.astype(np.uint64))
+
+
+def _hot(whole: DataFrame, k: int, m: int) -> np.ndarray:
+    """Minimizers (sorted) that more than _HOT_SHARE of about _SAMPLE rows have. Only where paths meet depends on them."""
+    rows = whole.count()
+    share = min(1.0, _SAMPLE / max(rows, 1))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in base.sliced(batch, _TOGETHER):
+                chunk = _Chunk(part.column("row"), part.column("doc_id"), part.column("text"), k)
+                key, start, _ = chunk.runs(m)
+                each = np.unique(np.stack([key.view(np.int64), chunk.of[start]]), axis=1)[0] if len(key) else np.empty(0, np.int64)
+                yield pa.record_batch([pa.array(each)], ["key"])
 
-def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[list]]:
-    """Rows of batches, as lists of columns, in chunks of about _TOGETHER bytes of text."""
-    for batch in batches:
-        size = np.cumsum(np.asarray(pa.compute.binary_length(batch.column("text"))))
-        a = 0
-        while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + _TOGETHER, "right")))
-            yield [batch.column(c).slice(a, b - a).to_pylist() for c in columns]
-            a = b
+    found = whole.sample(share, seed=3).mapInArrow(run, "key long").groupBy("key").count()
+    often = found.filter(F.col("count") > max(_HOT_ROWS, _HOT_SHARE * share * rows)).orderBy(F.desc("count"), "key").limit(1 << 16)
+    return np.sort(np.array([r.key for r in often.select("key").collect()], np.int64).view(np.uint64))
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """doc, span, source of rows that repeat a smaller document (source), or of those to take apart (null)."""
-    same, all_ = Window.partitionBy("key", "r"), Window.partitionBy("key")
-    # Sorted once, by (key, r). A worker sends one row for a content and chunk, so hot keys have few rows.
-    out = rows.repartition("key").withColumn("least", F.min("doc").over(same))
-    out = out.withColumn("branch", F.min("doc").over(all_) < F.max("doc").over(all_)).withColumn("branch", F.col("branch") & (F.min("r").over(all_) < F.max("r").over(all_)))
+    """kind, row, first, n, source_row, source_first of spans that mean something after all paths met; of hot ones
+    key, r and doc too."""
+    place = F.when(F.col("hot"), F.xxhash64("key", "r", "row", "first")).otherwise(F.col("key"))
+    same, all_ = Window.partitionBy("place", "r"), Window.partitionBy("place")
+    # Sorted once, by (place, r). A worker sends one row for a content and chunk, and hot keys are spread.
+    out = rows.withColumn("place", place).repartition("place").withColumn("least", F.min("doc").over(same))
+    out = out.withColumn("source_row", F.min_by("row", "doc").over(same)).withColumn("source_first", F.min_by("first", "doc").over(same))
+    out = out.withColumn("branch", (F.min("doc").over(all_) < F.max("doc").over(all_)) & (F.min("r").over(all_) < F.max("r").over(all_)))
     out = out.withColumn("signal", F.max(F.col("doc").isNull()).over(all_)).filter("doc IS NOT NULL")
-    here, later = F.col("r").isNull() & (F.col("span") >= 0), F.col("doc") > F.col("least")
-    out = out.filter(F.col("r").isNull() | later | F.col("signal") | F.col("branch"))
-    source = F.when(here, F.col("doc")).when(F.col("r").isNotNull() & later, F.col("least"))
-    return out.select("doc", F.abs("span").alias("span"), source.alias("source"))
+    kind = F.when(F.col("hot"), HOT).when(F.col("r").isNull(), F.when(F.col("n") > 0, SETTLED).otherwise(APART))
+    kind = kind.when(F.col("doc") > F.col("least"), CLAIMED).when(F.col("signal") | F.col("branch"), APART)
+    out = out.withColumn("kind", kind).filter("kind IS NOT NULL").withColumn("n", F.abs("n"))
+    only = lambda kind, *names: [F.when(F.col("kind") == kind, F.col(c)).alias(c) for c in names]
+    return out.select("kind", "row", "first", "n", *only(CLAIMED, "source_row", "source_first"), *only(HOT, "key", "r", "doc"))
 
 
-def repeated_spans(docs: DataFrame, k: int = 13, m: int = 4) -> DataFrame:
-    """doc, span, source: windows of k words (first << 24 | number) of a document that also start in a document
-    with a smaller id; source is one such document, or doc itself where a worker settled several at once.
+_SPAN = ["row", "first", "n", "source_row", "source_first"]
 
-    Spans may overlap. Null doc_ids are left out: they neither repeat nor are repeated."""
-    whole = base.texts(docs).filter("doc_id IS NOT NULL")
+
+def _joined(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows(key, r, doc, row, first, n): spans of _SPAN that repeat a smaller document's with the same (key, r), and
+    the rows that are the smallest of theirs. Minima are combined before the shuffle, hot keys looked up apart."""
+    least = rows.groupBy("key", "r").agg(F.min(F.struct("doc", "row", "first")).alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("size"))
+    least = base.saved(least.filter(F.col("most") > F.col("least.doc")).select("key", "r", "least", "size"), "least")
+    met = base.looked_up(rows, least, ["key", "r"], "size", rows.count())
+    late = met.filter(F.col("doc") > F.col("least.doc"))
+    return late.select("row", "first", "n", F.col("least.row").alias("source_row"), F.col("least.first").alias("source_first")), least
+
+
+def repeated_spans(rows: DataFrame, k: int = 13, m: int = 4) -> DataFrame:
+    """row, spans of rows(row, doc_id, text): windows of k words (first, n) of a row that also start in a row with a
+    smaller doc_id, with a digest of the source's words (null: compared already). Spans may overlap.
+
+    Rows with a null doc_id neither repeat nor are repeated; rows of one doc_id don't repeat each other."""
+    spark, whole = rows.sparkSession, rows.filter("doc_id IS NOT NULL")
+    hot = spark.sparkContext.broadcast(_hot(whole, k, m))  # 65,536 numbers at most
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _chunks(batches, ["doc_id", "text"]):
-            rows = _Rows([])
-            _Chunk(ids, texts, k).paths(rows, m)
-            yield from rows.batches()
+        for batch in batches:
+            for part in base.sliced(batch, _TOGETHER):
+                found = _Rows()
+                _Chunk(part.column("row"), part.column("doc_id"), part.column("text"), k).paths(found, m, hot.value)
+                yield from found.batches()
 
     met = base.saved(_met(whole.mapInArrow(scan, _FOUND)), "met")
-    base.release(docs.sparkSession)
-    apart = met.filter("source IS NULL").groupBy("doc").agg(F.collect_list("span").alias("spans")).withColumnRenamed("doc", "doc_id")
+    base.release(spark)
+    often = met.filter(F.col("kind") == HOT).select("key", "r", "doc", "row", "first", "n")
+    claimed, _ = _joined(often)
+    # A hot path that repeats one of a smaller document is settled as a whole; any other is taken apart.
+    claimed = base.saved(claimed, "claimed")
+    rest = often.select("row", "first", "n").join(claimed.select("row", "first"), ["row", "first"], "left_anti")
+    apart = met.filter(F.col("kind") == APART).select("row", "first", "n").unionByName(rest)
+    apart = apart.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, spans in _chunks(batches, ["doc_id", "text", "spans"]):
-            rows, chunk = _Rows([]), _Chunk(ids, texts, k)
-            of = {d: i for i, d in enumerate(chunk.ids.tolist())}
-            flat = [(chunk.first[of[d]] + (s >> _LEN), s & ((1 << _LEN) - 1)) for d, x in zip(ids, spans, strict=True) if d in of for s in x]
-            if not flat:
-                continue
-            a, n = np.array(flat, np.int64).T
-            which = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            chunk.settled(rows, *chunk.edges(rows, which))
-            yield from rows.batches()
-
-    single = base.saved(_met(whole.join(apart, "doc_id").mapInArrow(edges, _FOUND)), "single")
+        for batch in batches:
+            for part in base.sliced(batch, _TOGETHER):
+                found, chunk = _Rows(), _Chunk(part.column("row"), part.column("doc_id"), part.column("text"), k)
+                spans = part.column("spans")
+                flat = spans.flatten()
+                of = np.repeat(np.arange(part.num_rows), np.asarray(spans.value_lengths()))
+                n = np.asarray(flat.field("n"))
+                a = chunk.first[of] + np.asarray(flat.field("first"))
+                which = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                chunk.settled(found, *chunk.edges(found, which))
+                yield from found.batches()
+
+    single = base.saved(whole.join(apart.hint("merge"), "row").mapInArrow(edges, _FOUND), "edges")
+    more, _ = _joined(single.filter("r IS NOT NULL").select("key", "r", "doc", "row", "first", "n"))
+    to_check = met.filter(F.col("kind") == CLAIMED).select(*_SPAN).unionByName(claimed).unionByName(more)
+    to_check = base.saved(to_check, "claims")
+    sure = met.filter(F.col("kind") == SETTLED).select("row", "first", "n").unionByName(single.filter("r IS NULL").select("row", "first", "n"))
+    base.release(spark)
+
+    place = ["source_row", "source_first", "n"]
+    asked = to_check.groupBy(*place).agg(F.count(F.lit(1)).alias("size"))
+    asked = asked.groupBy("source_row").agg(F.collect_list(F.struct("source_first", "n", "size")).alias("spans")).withColumnRenamed("source_row", "row")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in base.sliced(batch, _TOGETHER):
+                flat, digests = part.column("spans").flatten(), []
+                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                    words = text.encode().split()
+                    digests += [_digest(words, s["source_first"], s["n"], k) for s in spans]
+                rows = part.column("row").take(pa.array(np.repeat(np.arange(part.num_rows), np.asarray(part.column("spans").value_lengths()))))
+                yield pa.record_batch([rows, flat.field("source_first"), flat.field("n"), flat.field("size"), pa.array(digests, pa.binary())], [*place, "size", "digest"])
+
+    read_there = whole.join(asked.hint("merge"), "row").mapInArrow(read, "source_row long, source_first long, n long, size long, digest binary")
+    checked = base.looked_up(to_check, base.saved(read_there, "sources"), place, "size", to_check.count())
+    spans = checked.select("row", "first", "n", "digest").unionByName(sure.withColumn("digest", F.lit(None).cast("binary")))
+    return spans.groupBy("row").agg(F.collect_list(F.struct("first", "n", "digest")).alias("spans"))
+
+
+def _digest(words: list[bytes], first: int, n: int, k: int) -> bytes:
+    return blake2b(b" ".join(words[first : first + n + k - 1]), digest_size=16).digest()
+
+
+def _kept(words: list[bytes], spans: list[dict] | None, k: int) -> list[bytes]:
+    """Words that no span covers; spans whose words aren't those of their source don't count."""
+    if not spans:
+        return words
+    edge = np.zeros(len(words) + 1, np.int64)
+    for s in spans:
+        if s["digest"] is None or s["digest"] == _digest(words, s["first"], s["n"], k):
+            edge[s["first"]] += 1
+            edge[s["first"] + s["n"] + k - 1] -= 1
+    return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+
+
+def _with_spans(docs: DataFrame, k: int, columns: list[str] | None) -> tuple[DataFrame, str]:
+    """Rows of docs with a column of the spans to remove (null: none), and the name of that column."""
+    rows, row = base.numbered(docs, columns, bucketed=True)
     base.release(docs.sparkSession)
-    return met.union(single).filter("source IS NOT NULL")
-
-
-def _kept(text: str, spans: list[int], k: int) -> tuple[list[bytes], str]:
-    """Words that no span covers, and the text they make."""
-    words = text.encode().split()
-    edge, x = np.zeros(len(words) + 1, np.int64), np.array(spans, np.int64)
-    np.add.at(edge, x >> _LEN, 1)
-    np.add.at(edge, (x >> _LEN) + (x & ((1 << _LEN) - 1)) + k - 1, -1)
-    keep = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
-    return keep, b" ".join(keep).decode()
+    found = repeated_spans(base.row_texts(rows, row), k)
+    names = {c.lower() for c in rows.columns}
+    spans = next(n for n in (f"spans{'_' * i}" for i in range(len(names) + 1)) if n not in names)
+    return rows.join(found.hint("merge").select(F.col("row").alias(row), F.col("spans").alias(spans)), row, "left"), spans
 
 
 def _removed(docs: DataFrame, k: int, result: str, make) -> DataFrame:
-    spans = repeated_spans(docs, k).groupBy("doc").agg(F.collect_list("span").alias("spans")).withColumnRenamed("doc", "doc_id")
+    whole, spans = _with_spans(docs, k, ["doc_id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in result.split(", ")]
-        for ids, texts, found in _chunks(batches, ["doc_id", "text", "spans"]):
-            out = []
-            for doc, text, spans in zip(ids, texts, found, strict=True):
-                words = text.encode().split()
-                keep = _kept(text, spans, k)[0] if spans else words
-                out.append((doc, len(words), len(words) - len(keep), make(text, words, keep)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        for batch in batches:
+            for part in base.sliced(batch, _TOGETHER):
+                out = []
+                for text, found in zip(part.column("text").to_pylist(), part.column(spans).to_pylist(), strict=True):
+                    words = text.encode().split()
+                    keep = _kept(words, found, k)
+                    out.append((len(words), len(words) - len(keep), make(text, words, keep)))
+                kinds = [pa.int64(), pa.int64(), pa.string()]
+                yield pa.record_batch([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names)
 
-    return base.texts(docs).join(spans, "doc_id", "left").mapInArrow(run, result)
+    return whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), spans).mapInArrow(run, result)
 
 
 def substring_dedup(docs: DataFrame, k: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, text: each row of docs(doc_id, text) without the words that a repeated window covers.
 
-    Words are cut at ASCII white space. A window of k words repeats when its words also start in a document with a
+    Words are cut at ASCII white space. A window of k words repeats when its words also start in a row with a
     smaller doc_id; windows are judged on the input. Where words go, the others are joined by one blank; other
     texts stay as they are. Null text: empty. Rows with a null doc_id stay as they are and are no source; rows
-    repeated with their doc_id and text are treated alike. Texts under k words have no window. Other columns
-    are ignored; an empty table gives an empty result.
+    that share a doc_id are judged one by one, each against smaller ids alone. Texts under k words have no
+    window; long ones have no limit. Other columns are ignored; an empty table gives an empty result.
     """
     return _removed(docs, k, "doc_id long, n_words long, n_removed long, text string", lambda text, words, keep: text if len(words) == len(keep) else b" ".join(keep).decode())
 
 
 def without_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
-    """docs with all its columns, its texts as substring_dedup() leaves them, and n_chars (if there) to match."""
-    spans = repeated_spans(docs, k).groupBy("doc").agg(F.collect_list("span").alias("_spans")).withColumnRenamed("doc", "_doc")
+    """docs with all its columns, its texts as substring_dedup() leaves them, and n_chars (if there) to match; no
+    column of docs can clash. Rows whose text is null keep it null."""
+    whole, spans = _with_spans(docs, k, None)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [t if not x else _kept(t, x, k)[1] for t, x in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist(), strict=True)]
+            for part in base.sliced(batch, _TOGETHER):
+                texts = part.column("text").to_pylist()
+                for i, found in enumerate(part.column(spans).to_pylist()):
+                    if found:
+                        words = texts[i].encode().split()
+                        keep = _kept(words, found, k)
+                        texts[i] = texts[i] if len(keep) == len(words) else b" ".join(keep).decode()
                 cols = {n: part.column(n) for n in schema.names} | {"text": pa.array(texts, pa.string())}
                 yield pa.record_batch([cols[n] for n in schema.names], schema.names)
 
-    out = docs.join(spans, docs["doc_id"] == spans["_doc"], "left").drop("_doc").mapInArrow(run, schema)
+    out = whole.select(*docs.columns, spans).mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
 
 
