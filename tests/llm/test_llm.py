@@ -1,6 +1,7 @@
 """The text operators against brute force, round trips and held-out rows; and on odd tables."""
 
 import hashlib
+import itertools
 import os
 import zlib
 from collections import defaultdict
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -453,20 +455,33 @@ def test_vectors(spark, monkeypatch):
     label = np.arange(len(x))
     for _ in range(50):
         label = np.array([min([label[i], *label[linked[i]]]) for i in range(len(x))])
-    rows = [(i, [float(v) for v in d], None) for i, d in enumerate(data)]
+    rows = [(i, [float(v) for v in d * (1e200 if i % 3 == 1 else 1e-200 if i % 3 == 2 else 1)], None) for i, d in enumerate(data)]
     bad = [None, [], [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [float("inf")] + [1.0] * 15, [1.0, 2.0]]
     rows += [(1000 + i, b, 1) for i, b in enumerate(bad)] + [(None, rows[0][1], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key int")
     for tile in (1024, 50):
         monkeypatch.setattr(vectors, "TILE", tile)
-        got = {r.vec_id: r for r in vectors.near_vectors(df).collect()}
-        wrong = [i for i in range(len(x)) if (got[i].n_links, got[i].component_id) != (linked[i].sum(), label[i])]
-        assert len(wrong) <= 0.01 * len(x)
+        got = {r.vec_id: r for r in vectors.near_vectors(df, vectors.Tables(miss=1e-6)).collect()}
+        assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == list(zip(linked.sum(axis=1).tolist(), label.tolist(), strict=True))
         assert all((got[1000 + i].n_links, got[1000 + i].kept) == (0, True) for i in range(len(bad)))
         assert got[None].n_links == 0 and not got[None].kept and len(got) == len(rows)
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_dense_vectors(spark):
+    """5,000 vectors of one region, with the parameters of the query."""
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=32)
+    x = (one + rng.normal(size=(5000, 32)) * 0.33).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = vectors.near_vectors(df).toPandas().set_index("vec_id").sort_index()
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    assert got.n_links.tolist() == (linked.sum(axis=1) - 1).tolist()
+    assert (got.component_id[linked.sum(axis=1) > 1] == got.component_id[0]).mean() > 0.999
+
+
 # ------------------------------------------------------------ classifiers
 
 
@@ -504,6 +519,69 @@ def test_toxicity_from_positives_and_unlabelled(spark):
     assert learning.without_toxic(docs, marks).columns == docs.columns
 
 
+def test_risk_and_its_gradient():
+    """By differences, on both sides of the cut at 0."""
+    rng = np.random.default_rng(1)
+    kind = np.array([1] * 6 + [0] * 14)
+    row, col = np.repeat(np.arange(20), 3), rng.integers(0, 5, 60)
+    sides = set()
+    for prior, scale in ((0.2, 1.0), (0.9, 1.0), (0.9, -2.0), (0.5, 0.1)):
+        model, w, b = learning.NonNegativePU(), rng.normal(size=5) * scale, 0.3
+        plus, rest, g = model.risk(w, b, row, col, kind, prior)
+        f = np.array([b + sum(w[c] for r, c in zip(row, col, strict=True) if r == i) for i in range(20)])
+        assert np.isclose(plus, prior * np.mean([np.log(1 + np.exp(-x)) for x in f[:6]]))
+        assert np.isclose(rest, np.mean([np.log(1 + np.exp(x)) for x in f[6:]]) - prior * np.mean([np.log(1 + np.exp(x)) for x in f[:6]]))
+        sides.add(rest >= 0)
+
+        def goal(theta):
+            a, c, _ = model.risk(theta[:-1], theta[-1], row, col, kind, prior)
+            return a + c if rest >= 0 else -c
+
+        at = np.append(w, b)
+        want = [(goal(at + e) - goal(at - e)) / 2e-6 for e in np.eye(6) * 1e-6]
+        assert np.allclose(g, want, atol=1e-6)
+    assert sides == {True, False}
+
+
+def test_scores_by_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(("bad" if i % 2 and rng.random() < 0.3 else f"w{x}") for x in rng.integers(0, 60, 30))) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (1000, ""), (1001, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    pu, sub = learning.NonNegativePU(), learning.SubwordEmbeddings()
+    weights, bias = pu.fit(docs, marks)
+    assert weights[pu.bucket("bad")] > 1
+    for r in learning.toxicity(docs, marks).collect():
+        text = dict(rows).get(r.doc_id, "")
+        f = bias + sum(weights.get(pu.bucket(w), 0) for w in {*text.lower().split()})
+        assert abs(r.score - 1 / (1 + np.exp(-f))) < 1e-9 and r.predicted == (r.score >= 0.5)
+    part, bias = sub.fit(docs, marks)
+    for r in learning.quality(docs, marks).collect():
+        words, total = dict(rows).get(r.doc_id, "").split(), 0.0
+        for w in words:
+            s = f"<{w}>"
+            at = [s, *(s[i : i + 3] for i in range(len(s) - 2)), *(s[i : i + 4] for i in range(len(s) - 3))]
+            total += np.mean([part[xxhash.xxh32_intdigest(x) % (sub.buckets - 1) + 1] for x in at])
+        total += sum(float(part[sub.pairs([a, c])[0]]) for a, c in itertools.pairwise(words))
+        f = bias + (total / (2 * len(words) - 1) if words else 0)
+        assert abs(r.score - 1 / (1 + np.exp(-f))) < 1e-5 and r.predicted == (r.score >= 0.3)
+
+
+def test_repeated_ids_teach_once(spark):
+    rows = [(1, f"text {i}") for i in range(500)] + [(2, "x"), (4, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, kind int")
+    assert sorted((r.kind, r.text) for r in learning._taught(docs, ids).collect()) == [(0, "text 0"), (0, "x"), (1, "text 0")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    got = learning.op3_toxicity(spark, sf).join(base.table(spark, sf, "labels"), "doc_id").filter("held_out").toPandas()
+    assert auc(got.score.to_numpy(), got.toxic.to_numpy()) > 0.96
+    assert got.predicted[got.toxic == 1].mean() > 0.85 and got.predicted[got.toxic == 0].mean() < 0.01
+
+
 def test_classifiers_without_labels(spark, odd, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {(r.score, r.predicted) for r in learning.toxicity(odd, none).collect()} == {(0.0, 0)}

@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,13 @@ def _first(df: DataFrame, rows: int, seed: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
 
 
+def _taught(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """kind, text of the documents of ids(doc_id, kind), saved: one text a doc_id and kind, however many rows share the
+    doc_id (the least of them), so that rows are bounded by ids."""
+    found = base.texts(docs).join(F.broadcast(ids), "doc_id").groupBy("kind", "doc_id").agg(F.min("text").alias("text"))
+    return base.saved(found.select("kind", "text"), "taught")
+
+
 def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = score()
@@ -55,123 +63,141 @@ def sigmoid(x):
 
 @dataclass(frozen=True)
 class NonNegativePU:
-    """A linear classifier on the presence of words, fitted by the non-negative risk estimator
-    prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with the logistic loss.
+    """A linear classifier on hashed words (each distinct word of a text counts once), fitted by the non-negative risk
+    estimator prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with the logistic loss. Its bias is
+    what the risk makes it: score 0.5 is where the class prior puts it.
 
     prior: share of positives in unlabelled text; None: the share of labelled training rows that are positive.
-    positives, unlabelled: most rows of each kind that are learnt from. words: most words in the vocabulary, those
-    that stand out most in the positives: by least_z standard errors at least, for chance alone makes some of
-    very many words stand out by less, and by least_lift times, so that words of a language or topic that
-    toxic text merely has more of stay out. penalty: L2. weakest: the quantile of the positives' margins that
-    counts as their weakest.
+    positives, unlabelled: most labelled training rows that are learnt from as confirmed positives, and as unlabelled
+    text (whatever their label, which isn't looked at). buckets: of words. least_docs, least_z, least_lift: a
+    bucket is learnt if that many positives have it, and it stands out in them by that many standard
+    errors and that many times; however many do so. penalty: L2.
     """
 
     prior: float | None = None
     positives: int = 4000
     unlabelled: int = 8000
-    words: int = 4096
+    buckets: int = 1 << 18
     least_docs: int = 3
-    least_z: float = 5.0
-    least_lift: float = 3.0
+    least_z: float = 3.0
+    least_lift: float = 1.5
     steps: int = 200
     rate: float = 0.1
-    penalty: float = 1e-4
+    penalty: float = 1e-5
     beta: float = 0.0
-    weakest: float = 0.01
     seed: int = 7
 
-    def fit(self, docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict[str, float] | None:
-        """Weights of words, and of "" as the bias; None if there is no positive row to learn from."""
+    def bucket(self, word: str) -> int:
+        return xxhash.xxh32_intdigest(word) % self.buckets
+
+    def features(self, text: str) -> np.ndarray:
+        """Buckets of the distinct words, in ascending order; two words may share one."""
+        return np.sort(np.fromiter(map(self.bucket, set(_words(text.lower()))), np.int64))
+
+    def fit(self, docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[dict[int, float], float] | None:
+        """Weights of buckets, and the bias; None if there is no positive row to learn from.
+
+        The driver gets counts of buckets (2 * buckets numbers at most) and, of each row learnt from, those buckets
+        that are learnt."""
         taught = labels.filter(~held_out() & F.col(label).isNotNull())
         share = taught.agg(F.avg(F.col(label).cast("double"))).first()[0]
         pos = _first(taught.filter(F.col(label) == 1), self.positives, self.seed).withColumn("kind", F.lit(1))
-        unl = _first(docs, self.unlabelled, self.seed + 1).withColumn("kind", F.lit(0))
-        ids = F.broadcast(pos.unionByName(unl))  # positives + unlabelled rows at most
+        unl = _first(labels, self.unlabelled, self.seed + 1).withColumn("kind", F.lit(0))
+        rows = _taught(docs, pos.unionByName(unl))
+        count = {r.kind: r["count"] for r in rows.groupBy("kind").count().collect()}
+        if set(count) != {0, 1}:
+            return None
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros((2, self.buckets), np.int64)
+            for batch in batches:
+                for kind, text in zip(batch.column("kind").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    n[kind, np.unique(self.features(text))] += 1
+            kind, at = np.nonzero(n)
+            yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(at, pa.int32()), pa.array(n[kind, at])], ["kind", "bucket", "n"])
+
+        seen = rows.mapInArrow(counted, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        n = np.zeros((2, self.buckets))
+        n[seen.column("kind").to_numpy(), seen.column("bucket").to_numpy()] = seen.column("n").to_numpy()
+        learnt = np.flatnonzero(self.stands_out(n[1], count[1], n[0], count[0]))
+        place = np.full(self.buckets, -1)
+        place[learnt] = np.arange(len(learnt))
+
+        def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                words = [sorted(set(_words(t.lower()))) for t in batch.column("text").to_pylist()]
-                yield pa.record_batch([batch.column("kind"), pa.array(words, pa.list_(pa.string()))], ["kind", "words"])
+                at = [x[x >= 0] for x in (place[self.features(t)] for t in batch.column("text").to_pylist())]
+                yield pa.record_batch([batch.column("kind"), pa.array(at, pa.list_(pa.int32()))], ["kind", "at"])
 
-        rows = base.texts(docs).join(ids, "doc_id").select("kind", "text").mapInArrow(run, "kind int, words array<string>").toArrow()
-        kind = rows.column("kind").to_numpy()
-        if not (kind == 1).any() or not (kind == 0).any():
-            return None
-        lists = rows.column("words").combine_chunks()
-        sizes = np.asarray(lists.value_lengths().fill_null(0))
-        coded = lists.flatten().dictionary_encode()
-        code, names = np.asarray(coded.indices), coded.dictionary
-        row = np.repeat(np.arange(len(kind)), sizes)
-        n_pos, n_unl = (kind == 1).sum(), (kind == 0).sum()
-        in_pos = np.bincount(code[kind[row] == 1], minlength=len(names))
-        in_unl = np.bincount(code[kind[row] == 0], minlength=len(names))
+        got = rows.mapInArrow(used, "kind int, at array<int>").toArrow()
+        lists = got.column("at").combine_chunks()
+        row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+        weights, bias = self._descend(row, np.asarray(lists.flatten()), got.column("kind").to_numpy(), len(learnt), self.prior if self.prior is not None else float(share))
+        return dict(zip(learnt.tolist(), weights.tolist(), strict=True)), float(bias)
+
+    def stands_out(self, in_pos, n_pos, in_unl, n_unl):
         both = (in_pos + in_unl) / (n_pos + n_unl)
         z = (in_pos / n_pos - in_unl / n_unl) / np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_unl) + 1e-12)
-        z[(in_pos < max(self.least_docs, n_pos / 200)) | (in_pos / n_pos < self.least_lift * in_unl / n_unl)] = -1
-        keep = np.sort(np.argsort(-z, kind="stable")[: self.words])
-        keep = keep[z[keep] >= self.least_z]
-        place = np.full(len(names), -1)
-        place[keep] = np.arange(len(keep))
-        used = place[code] >= 0
-        weights, bias = self._descend(row[used], place[code[used]], kind, len(keep), self.prior if self.prior is not None else float(share))
-        found = names.take(pa.array(keep)).to_pylist()
-        return {w: float(v) for w, v in zip(found, weights, strict=True) if v} | {"": float(bias)}
+        return (z >= self.least_z) & (in_pos >= self.least_docs) & (in_pos / n_pos >= self.least_lift * in_unl / n_unl)
+
+    def risk(self, w, b, row, col, kind, prior):
+        """The risk of the positives, that of the negatives (which the estimator cuts off at 0), and a gradient: of
+        their sum, or, where the latter is under -beta, up that one alone."""
+        pos, unl = kind == 1, kind == 0
+        f = np.bincount(row, w[col], minlength=len(kind)) + b
+        s = sigmoid(f)  # d loss(f, -1) / d f; d loss(f, +1) / d f = s - 1
+        negative = np.logaddexp(0, f)
+        rest = negative[unl].mean() - prior * negative[pos].mean()
+        d = np.zeros(len(kind))
+        if rest >= -self.beta:
+            d[pos] = prior * (s[pos] - 1 - s[pos]) / pos.sum()
+            d[unl] = s[unl] / unl.sum()
+        else:  # the estimated risk of negatives fell below what a risk can be: climb back
+            d[pos] = prior * s[pos] / pos.sum()
+            d[unl] = -s[unl] / unl.sum()
+        return prior * np.logaddexp(0, -f[pos]).mean(), rest, np.append(np.bincount(col, d[row], minlength=len(w)), d.sum())
 
     def _descend(self, row, col, kind, size, prior):
         prior = min(max(prior, 1e-3), 0.999)
-        pos, unl = kind == 1, kind == 0
         w, b = np.zeros(size), np.log(prior / (1 - prior))
         m, v = np.zeros(size + 1), np.zeros(size + 1)
         for t in range(1, self.steps + 1):
-            f = np.bincount(row, w[col], minlength=len(kind)) + b
-            s = sigmoid(f)  # d loss(f, -1) / d f; d loss(f, +1) / d f = s - 1
-            negative = np.logaddexp(0, f)
-            rest = negative[unl].mean() - prior * negative[pos].mean()
-            d = np.zeros(len(kind))
-            if rest >= -self.beta:
-                d[pos] = prior * (s[pos] - 1 - s[pos]) / pos.sum()
-                d[unl] = s[unl] / unl.sum()
-            else:  # the estimated risk of negatives fell below what a risk can be: climb back
-                d[pos] = prior * s[pos] / pos.sum()
-                d[unl] = -s[unl] / unl.sum()
-            g = np.append(np.bincount(col, d[row], minlength=size) + self.penalty * w, d.sum())
+            g = self.risk(w, b, row, col, kind, prior)[2]
+            g[:-1] += self.penalty * w
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = self.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             w, b = w - step[:-1], b - step[-1]
-        # 0.5 stands halfway from usual text to the weakest positives, but no lower than where the prior's share of
-        # unlabelled text is above it.
-        f = np.bincount(row, w[col], minlength=len(kind)) + b
-        cut = max((np.quantile(f[pos], self.weakest) + np.median(f[unl])) / 2, np.quantile(f[unl], 1 - prior) + 1e-6)
-        return w, b - cut
+        return w, b
 
 
-def _toxic_score(known: dict[str, float] | None):
+def _toxic_score(model: NonNegativePU, known: tuple[dict[int, float], float] | None):
     if known is None:
         return lambda text: 0.0
-    bias, vocabulary = known.get("", 0.0), known.keys() - {""}
-    return lambda text: float(sigmoid(bias + sum(map(known.__getitem__, sorted(vocabulary.intersection(_words(text.lower())))))))
+    weights, bias = known
+    memory = bpe.Memory(lambda word: weights.get(model.bucket(word), 0.0), 200_000)
+    return lambda text: float(sigmoid(bias + fsum(map(memory.__getitem__, set(_words(text.lower()))))))  # in any order
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: NonNegativePU | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs(doc_id, text).
 
-    Null text: empty; an empty text gets the score of the bias. Labels with a null doc_id or label teach nothing;
-    repeated labels count once. With no positive training row every score is 0. Null or repeated doc_ids are scored
+    Null text: empty; an empty text gets the score of the bias. Labels with a null doc_id teach nothing, and those
+    without a label no positive; repeated labels count once, and rows that share a labelled doc_id teach by one text. With no positive training row every score is 0. Null or repeated doc_ids are scored
     like others; other columns are ignored; an empty table gives an empty result.
     """
-    weights = (model or NonNegativePU()).fit(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(weights)  # at most NonNegativePU.words entries
+    model = model or NonNegativePU()
+    sent = docs.sparkSession.sparkContext.broadcast(model.fit(docs, labels))  # at most NonNegativePU.buckets entries
 
-    return _scored(docs, lambda: _toxic_score(sent.value), threshold)
+    return _scored(docs, lambda: _toxic_score(model, sent.value), threshold)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, model: NonNegativePU | None = None, threshold: float = 0.5) -> DataFrame:
-    """docs, all its columns, without the rows whose score is threshold or more; nothing moves between tasks."""
-    weights = (model or NonNegativePU()).fit(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    """docs, all its columns, without the rows whose score is threshold or more; nothing moves between tasks. Rows are
+    judged one by one: doc_id may be null or repeated, a null text counts as empty and comes through as null."""
+    model = model or NonNegativePU()
+    sent = docs.sparkSession.sparkContext.broadcast(model.fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = _toxic_score(sent.value)
+        each = _toxic_score(model, sent.value)
         for batch in batches:
             yield batch.filter(pa.array([each(t or "") < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
@@ -232,7 +258,7 @@ class SubwordEmbeddings:
         if set(count) != {0, 1}:
             return None
         ids = [_first(taught.filter(F.col(label) == k), self.rows, self.seed).withColumn("kind", F.lit(k)) for k in (0, 1)]
-        ids = F.broadcast(ids[0].unionByName(ids[1]))  # 2 * rows at most
+        taught_rows = _taught(docs, ids[0].unionByName(ids[1]))  # 2 * rows at most, of buckets numbers each at most
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memory = bpe.Memory(self.word, 100_000)
@@ -243,7 +269,7 @@ class SubwordEmbeddings:
                     cols = [part.column("kind"), pa.array([x for x, _ in got], pa.list_(pa.int32())), pa.array([x for _, x in got], pa.list_(pa.float32()))]
                     yield pa.record_batch(cols, ["kind", "at", "value"])
 
-        rows = base.texts(docs).join(ids, "doc_id").select("kind", "text").mapInArrow(run, "kind int, at array<int>, value array<float>").toArrow()
+        rows = taught_rows.mapInArrow(run, "kind int, at array<int>, value array<float>").toArrow()
         kind = rows.column("kind").to_numpy()
         if set(kind.tolist()) != {0, 1}:
             return None
@@ -285,7 +311,7 @@ def quality(docs: DataFrame, labels: DataFrame, model: SubwordEmbeddings | None
     """doc_id, held_out, score, predicted of each row of docs(doc_id, text).
 
     Null text: empty; a text without words gets the score of the bias. Labels that are null or neither 0 nor 1
-    teach nothing; repeated labels count once. Without training rows of both classes every score is 0.5. Null or
+    teach nothing; repeated labels count once, and rows that share a labelled doc_id teach by one text. Without training rows of both classes every score is 0.5. Null or
     repeated doc_ids are scored like others; other columns are ignored; an empty table gives an empty result.
     """
     model = model or SubwordEmbeddings()

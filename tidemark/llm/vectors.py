@@ -57,6 +57,7 @@ class Tables:
 def _matrix(raw: list[bytes], kind: str) -> np.ndarray:
     """Unit vectors, in double precision, of vectors of one length and kind."""
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # else squares of very large or small numbers leave the range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
