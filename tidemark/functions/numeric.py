@@ -40,10 +40,6 @@ def tcev(x: Column, a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
     return F.exp(-F.exp(-a1 * (x - b1))) * F.exp(-F.exp(-a2 * (x - b2)))
 
 
-def half_even(x: Column) -> Column:
-    return F.rint(x)
-
-
 def pixel_index(value: Column, origin: Column, step: Column) -> Column:
     """Place on an axis, cut toward zero."""
     return F.try_divide(value - origin, step).cast("long")

@@ -71,7 +71,7 @@ def sample_points(points: DataFrame, boxes: DataFrame, cells: DataFrame, values:
 
 
 def training_samples(sampled: DataFrame, labels: DataFrame, values: list[str]) -> DataFrame:
-    """Complete rows with their label."""
+    """Complete rows with their label; check_samples() tells whether they are enough."""
     return sampled.join(labels, "point_id").dropna("any", subset=[*values, "label"])
 
 

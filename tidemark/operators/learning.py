@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHANNELS = ("raw_db", "gumbel", "fx", "slope_ratio", "bp_db")
@@ -22,6 +22,83 @@ def linear_scores(rows: DataFrame, column: str, weights: list[float], bias: floa
     return rows.withColumn("prob", 1 / (1 + F.exp(-(z + bias)))).withColumn("pred", (F.col("prob") >= threshold).cast("int"))
 
 
+@dataclass
+class LinearModel:
+    """Logistic regression on scaled features: what classifies if no other model is given. Any object with fit(x, y) and
+    predict_proba(x), x being (rows, features), can stand in its place."""
+
+    weights: np.ndarray | None = None
+    bias: float = 0.0
+    centre: np.ndarray | None = None
+    spread: np.ndarray | None = None
+    steps: int = 25
+    penalty: float = 1e-3
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> LinearModel:
+        """Newton steps on the penalised likelihood."""
+        self.centre, self.spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+        z = np.c_[(x - self.centre) / self.spread, np.ones(len(x))]
+        keep = np.append(np.full(x.shape[1], self.penalty), 1e-9)
+        w = np.zeros(z.shape[1])
+        for _ in range(self.steps):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z.T * (p * (1 - p))) @ z / len(z) + np.diag(keep), z.T @ (p - y) / len(z) + keep * w)
+            w -= step
+            if np.abs(step).max() < 1e-10:
+                break
+        self.weights, self.bias = w[:-1], float(w[-1])
+        return self
+
+    def predict_proba(self, x: np.ndarray) -> np.ndarray:
+        """Columns: chance of 0, of 1."""
+        p = 1 / (1 + np.exp(-np.clip(((x - self.centre) / self.spread) @ self.weights + self.bias, -700, 700)))
+        return np.stack([1 - p, p], axis=1)
+
+    def to_json(self) -> str:
+        return json.dumps({"weights": self.weights.tolist(), "bias": self.bias, "centre": self.centre.tolist(), "spread": self.spread.tolist()})
+
+    @classmethod
+    def from_json(cls, text: str) -> LinearModel:
+        d = json.loads(text)
+        return cls(np.array(d["weights"]), d["bias"], np.array(d["centre"]), np.array(d["spread"]))
+
+
+def fit_samples(samples: DataFrame, values: list[str], model=None, label: str = "label", rows: int = 200_000):
+    """A model fitted to at most rows complete labelled samples, in the order of a hash."""
+    table = samples.dropna("any", subset=[*values, label]).withColumn("_order", F.xxhash64(*values, label)).orderBy("_order").limit(rows).select(*values, label).toArrow()
+    x = np.stack([np.asarray(table.column(v), np.float64) for v in values], axis=1)
+    return (model or LinearModel()).fit(x, np.asarray(table.column(label), np.int64))
+
+
+def predicted(rows: DataFrame, values: list[str], model, threshold: float = 0.5, batch: int = 10_000) -> DataFrame:
+    """rows with prob and pred by any model with predict_proba, in batches; rows that lack a value have neither."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", prob double, pred int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                x = np.stack([part.column(v).cast(pa.float64()).to_numpy(zero_copy_only=False) for v in values], axis=1)
+                ok = ~np.isnan(x).any(axis=1)
+                p = np.full(len(x), np.nan)
+                if ok.any():
+                    p[ok] = model.predict_proba(x[ok])[:, 1]
+                yield pa.record_batch([*part.columns, pa.array(p, mask=~ok), pa.array((p >= threshold).astype(np.int32), mask=~ok)], [*part.schema.names, "prob", "pred"])
+
+    return rows.mapInArrow(run, kinds)
+
+
+def save_model(spark: SparkSession, model, folder: str) -> None:
+    """A model's JSON, and its history beside it if it has one, in any store that Spark writes to."""
+    rows = [("model", model.to_json()), ("history", json.dumps(getattr(model, "history", [])))]
+    spark.createDataFrame(rows, "part string, json string").coalesce(1).write.mode("overwrite").parquet(folder)
+
+
+def load_model(spark: SparkSession, kind, folder: str):
+    """What save_model() wrote; kind has from_json."""
+    return kind.from_json(spark.read.parquet(folder).filter("part = 'model'").first().json)
+
+
 @dataclass
 class FloodNet:
     """Three convolutions of width 3 with batch normalisation and ReLU, mean and maximum over time, a hidden
@@ -71,9 +148,11 @@ class FloodNet:
 
 
 def tensor(batch: pa.RecordBatch) -> np.ndarray:
-    """Curves of a batch as (rows, channels, time); missing ratios count as 0."""
-    series = [np.array(batch.column(c).to_pylist(), dtype=np.float64) for c in CHANNELS[:3]]
-    flat = [np.nan_to_num(np.array(batch.column(c).to_pylist(), dtype=np.float64)) for c in CHANNELS[3:]]
+    """Curves of a batch as (rows, channels, time), from the flat values of its arrays; missing ratios count as 0."""
+    rows = batch.num_rows
+    floats = lambda a: a.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    series = [floats(batch.column(c).flatten()).reshape(rows, -1) for c in CHANNELS[:3]]
+    flat = [np.nan_to_num(floats(batch.column(c))) for c in CHANNELS[3:]]
     return np.stack([*series, *(np.repeat(v[:, None], series[0].shape[1], axis=1) for v in flat)], axis=1)
 
 
@@ -87,7 +166,7 @@ def infer(curves: DataFrame, net: FloodNet, key: list[str], threshold: float = 0
             if not batch.num_rows:
                 continue
             z = sent.value.logits(tensor(batch))
-            none = np.array([v is None for v in batch.column("slope_ratio").to_pylist()])
+            none = batch.column("slope_ratio").is_null().to_numpy(zero_copy_only=False)
             p = 1 / (1 + np.exp(-z))
             label = (z >= 0 if threshold == 0.5 else p >= threshold).astype(np.int32)
             yield pa.record_batch([*(batch.column(k) for k in key), pa.array(p, mask=none), pa.array(label, mask=none)], [*key, "prob", "pred"])
@@ -230,6 +309,8 @@ def train(x: np.ndarray, labels: np.ndarray, groups: np.ndarray, config: TrainCo
 def train_on(curves: DataFrame, label: str = "label", group: str = "grid_id", rows: int = 200_000, config: TrainConfig | None = None) -> FloodNet:
     """train() on at most rows labelled curves, in the order of a hash: they reach the driver as one Arrow table."""
     keyed = curves.filter(F.col(label).isNotNull()).withColumn("_order", F.xxhash64(*CHANNELS[:3], group)).orderBy("_order").limit(rows)
-    table = keyed.select(*CHANNELS, label, group).toArrow().combine_chunks()
-    batch = table.to_batches()[0]
-    return train(tensor(batch), np.array(batch.column(label).to_pylist()), np.array(batch.column(group).to_pylist()), config)
+    batches = [b for b in keyed.select(*CHANNELS, label, group).toArrow().to_batches() if b.num_rows]
+    if not batches:
+        raise ValueError("there are no labelled curves to learn from")
+    labels, groups = (np.concatenate([np.asarray(b.column(c)) for b in batches]) for c in (label, group))
+    return train(np.concatenate(list(map(tensor, batches))), labels, groups, config)

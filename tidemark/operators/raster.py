@@ -73,30 +73,23 @@ def _sources(targets: DataFrame, scale_row: float, scale_col: float) -> DataFram
 
 
 def resample_bilinear(cells: DataFrame, targets: DataFrame, values: list[str], scale_row: float, scale_col: float, key: list[str] | None = None) -> DataFrame:
-    """targets(key, row, col) with values from the four cells about each centre, weighted by nearness over those that
-    are present; NULL if none is. scale: source cells in a target cell. An equi-join on four rows a target."""
+    """targets(key, row, col) with values from the four cells about each centre; scale: source cells in a target cell.
+    lattice.warp() does the same between any two geotransforms."""
+    return weighted_corners(_sources(targets, scale_row, scale_col), cells, values, key)
+
+
+def weighted_corners(targets: DataFrame, cells: DataFrame, values: list[str], key: list[str] | None = None) -> DataFrame:
+    """targets(key, row, col, sr, sc) with values from the four cells about (sr, sc), weighted by nearness over those that
+    are present; NULL if none is. An equi-join on four rows a target."""
     key = key or []
-    out = _sources(targets, scale_row, scale_col)
     corner = [F.struct((F.floor("sr") + i).alias("r"), (F.floor("sc") + j).alias("c"), (F.abs(F.lit(float(1 - i)) - (F.col("sr") - F.floor("sr"))) * F.abs(F.lit(float(1 - j)) - (F.col("sc") - F.floor("sc")))).alias("w")) for i in (0, 1) for j in (0, 1)]
-    out = out.select(*key, "row", "col", F.explode(F.array(*corner)).alias("k")).select(*key, "row", "col", "k.*")
+    out = targets.select(*key, "row", "col", F.explode(F.array(*corner)).alias("k")).select(*key, "row", "col", "k.*")
     src = cells.select(*key, F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), *values)
     out = out.join(src, [*key, "r", "c"], "left")
     mean = lambda v: F.try_divide(F.sum(F.col(v) * F.col("w")), F.nullif(F.sum(F.when(F.col(v).isNotNull(), F.col("w"))), F.lit(0.0)))
     return out.groupBy(*key, "row", "col").agg(*(mean(v).alias(v) for v in values))
 
 
-def resample_nearest(cells: DataFrame, targets: DataFrame, value: str, scale_row: float, scale_col: float, outside: float = 0.0) -> DataFrame:
-    """targets with the value of the cell that holds each centre, or outside."""
-    at = targets.withColumn("r", F.floor((F.col("row") + 0.5) * scale_row)).withColumn("c", F.floor((F.col("col") + 0.5) * scale_col))
-    src = cells.select(F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), value)
-    return at.join(src, ["r", "c"], "left").select("row", "col", F.coalesce(value, F.lit(outside)).alias(value))
-
-
-def aligned(scene: dict, reference: dict) -> bool:
-    """Shape, geotransform and reference system are equal: nothing to resample."""
-    return all(scene[k] == reference[k] for k in ("width", "height", "gt", "crs"))
-
-
 def lookup(cells: DataFrame, points: DataFrame, value: str, nodata: float, tolerance: float = 1e-3) -> DataFrame:
     """points(row, col) with the value there; NULL outside and at the sentinel."""
     there = cells.withColumn(value, N.present(F.col(value), nodata, tolerance))

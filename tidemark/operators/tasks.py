@@ -43,6 +43,41 @@ def prefix_of(folders: DataFrame, manual: str | None = None) -> DataFrame:
     return found.withColumn("number", F.expr("cast(substring(folder, length(prefix) + 1) AS int)")).orderBy("number", "folder")
 
 
+def prefix_or_error(folders: DataFrame, manual: str | None = None, shown: int = 20) -> DataFrame:
+    """prefix_of(), or an error that names the folders that are there, if none of them has a number."""
+    out = prefix_of(folders, manual)
+    if out.isEmpty():
+        there = sorted(r.folder for r in folders.select("folder").limit(shown).collect())
+        raise ValueError(f"no numbered folders{f' of {manual}' if manual else ''} among: {', '.join(there) or 'nothing'}")
+    return out
+
+
+def grid_names(folders: DataFrame) -> DataFrame:
+    """Names of grids, in the order of their letters: grid_10 comes before grid_9."""
+    return folders.select("folder").filter(F.col("folder").rlike(r"^grid_\d+$")).distinct().orderBy("folder")
+
+
+def on_date(scenes: DataFrame, date: str) -> DataFrame:
+    """Of each season and grid the scene of exactly this day, the first by path."""
+    there = scenes.filter(F.col("scene_date") == F.to_date(F.lit(date)))
+    return there.groupBy("season", "grid_id").agg(F.min("path").alias("path"), F.min("scene_date").alias("scene_date"))
+
+
+def within(rows: DataFrame, index: str, ranges: list[tuple[int, int]]) -> DataFrame:
+    """Rows whose index is in one of the ranges [start, stop): a filter that reaches the scan."""
+    any_of = F.lit(False)
+    for start, stop in ranges:
+        any_of = any_of | ((F.col(index) >= start) & (F.col(index) < stop))
+    return rows.filter(any_of)
+
+
+def layers_folder(cubes: str, given: str | None, exists) -> str | None:
+    """Where the parameter layers of a cube folder are: the given folder, else a sibling for seasons, else a plain one,
+    else nowhere. exists(path) tells what is there."""
+    parent = cubes.rstrip("/").rpartition("/")[0]
+    return next((f for f in (given, *(f"{parent}/{n}" for n in ("tcev_seasonal", "tcev"))) if f and exists(f)), None)
+
+
 def pending(tasks: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Tasks without a completed output."""
     return tasks.join(done.select(*key).distinct(), key, "left_anti")
@@ -94,12 +129,20 @@ def totals(files: DataFrame, outer: str, inner: str) -> DataFrame:
 def grid_split(grids: DataFrame, ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """grid_id, part: max(1, int(n * ratio)) grids, first by a seeded hash, are for validation; with under two
     grids there is none."""
-    w = Window.orderBy(F.xxhash64("grid_id", F.lit(seed)), "grid_id")
+    w = Window.orderBy(F.md5(F.concat(F.col("grid_id").cast("string"), F.lit(f":{seed}"))), "grid_id")  # a row a grid
     out = grids.select("grid_id").distinct().withColumn("place", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
     held = F.when(F.col("n") >= 2, F.greatest(F.lit(1), F.floor(F.col("n") * ratio))).otherwise(F.lit(0))
     return out.select("grid_id", F.when(F.col("place") <= held, "validation").otherwise("training").alias("part"))
 
 
+def row_split(rows: DataFrame, key: list[str], ratio: float = 0.2, seed: int = 42) -> DataFrame:
+    """rows with part: by a seeded hash of key a share of about ratio is for validation, the same on every run and for any
+    partitioning."""
+    text = F.concat_ws(":", *(F.col(k).cast("string") for k in key), F.lit(str(seed)))
+    place = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return rows.withColumn("part", F.when(place < ratio, "validation").otherwise("training"))
+
+
 def boundaries(rows: DataFrame, key: str, index: str) -> DataFrame:
     """First row of each key and the one after its last."""
     return rows.groupBy(key).agg(F.min(index).alias("start"), (F.max(index) + 1).alias("stop"))

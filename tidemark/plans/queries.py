@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import names
 from tidemark.functions import numeric as N
-from tidemark.operators import cube, features, learning, metrics, raster, tasks, tcev
+from tidemark.operators import cube, features, lattice, learning, metrics, raster, tasks, tcev
 from tidemark.plans import views as V
 from tidemark.schema import FEATURES, LAYERS, SERIES
 
@@ -232,7 +232,7 @@ def route_by_key(spark, sf_dir):
 
 @query(f"""WITH {SC} SELECT season, grid_id, path, CAST(scene_date AS VARCHAR) AS scene_date FROM sc QUALIFY row_number() OVER (PARTITION BY season, grid_id ORDER BY scene_date, path) = 1""")
 def reference_scene(spark, sf_dir):
-    """JN6, FLT7, SRT3: earliest scene of each task."""
+    """JN6, SRT3: earliest scene of each task."""
     s = V.scenes(spark, sf_dir)
     return tasks.reference_scenes(s, s).withColumn("scene_date", F.col("scene_date").cast("string"))
 
@@ -333,7 +333,7 @@ def _scored(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_SCORED} SELECT {KEY}, CAST(scene_date AS VARCHAR) AS scene_date, l_orderkey, l_linenumber, l_extendedprice, round(fx, 6) AS fx FROM ev")
 def event_fx(spark, sf_dir):
-    """JN2, PRJ14-15, RST2: new scenes scored against their pixels' history."""
+    """JN2, PRJ14-15: new scenes scored against their pixels' history."""
     return rounded(_scored(spark, sf_dir).select(*SERIES, F.col("scene_date").cast("string").alias("scene_date"), *V.TIES, "fx"), "fx")
 
 
@@ -392,7 +392,7 @@ def canvas(spark, sf_dir):
 
 @query(f"""WITH {TL}, {MK}, m AS (SELECT "row", col, avg(value) AS v FROM tl GROUP BY ALL) SELECT "row", col, round(v * coalesce(mask, 0), 6) AS fx FROM m LEFT JOIN mk USING ("row", col)""")
 def mask_apply(spark, sf_dir):
-    """JN4, PRJ17, RST3: values times a mask, 0 where it has no cell."""
+    """JN4, PRJ17: values times a mask, 0 where it has no cell."""
     m = raster.mosaic(V.tiles(spark, sf_dir), ["row", "col"]).withColumnRenamed("value", "fx")
     return rounded(raster.apply_mask(m, V.mask(spark, sf_dir), ["row", "col"]), "fx")
 
@@ -411,12 +411,91 @@ s AS (SELECT *, ("row" + 0.5) * 0.6 - 0.5 AS sr, (col + 0.5) * 0.6 - 0.5 AS sc F
 k AS (SELECT "row", col, CAST(floor(sr) AS BIGINT) + i AS r, CAST(floor(sc) AS BIGINT) + j AS c, abs((1 - i) - (sr - floor(sr))) * abs((1 - j) - (sc - floor(sc))) AS w FROM s, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
 SELECT "row", col, round(sum(v * w) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), 6) AS value FROM k LEFT JOIN m USING (r, c) GROUP BY ALL""")
 def resample_bilinear(spark, sf_dir):
-    """RST1, RST2, RST4, PRJ26: another lattice by its four neighbours."""
+    """RST1: a lattice of the same origin by its four neighbours."""
     m = raster.mosaic(V.tiles(spark, sf_dir), ["row", "col"])
     t = V.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 15).alias("row"), (F.col("c_custkey") % 16).alias("col")).distinct()
     return rounded(raster.resample_bilinear(m, t, ["value"], 0.6, 0.6), "value")
 
 
+_HD = """hd AS (SELECT unnest(['A', 'N', 'R']) AS ord, unnest([0, 1, 2]) AS k), hx AS (SELECT *, 10 + 1.25 * k AS ox, 50 - 0.74 * k AS oy FROM hd),
+hw AS (SELECT min(ox) AS x0, max(oy) AS y1, max(ox + 5.0) AS x1, min(oy - 50.5) AS y0 FROM hx)"""
+_ROUND = f"""{_HD}, off AS (SELECT ord, k, CAST(round_even((ox - x0) / 0.5, 0) AS INT) AS dc, CAST(round_even((oy - y1) / -0.5, 0) AS INT) AS dr, CAST(round_even((x1 - x0) / 0.5, 0) AS INT) AS w, CAST(round_even((y1 - y0) / 0.5, 0) AS INT) AS h FROM hx, hw)"""
+_TRUNC = f"""{_HD}, off AS (SELECT ord, k, CAST(trunc((ox - x0) / 0.5) AS INT) AS dc, CAST(trunc((oy - y1) / -0.5) AS INT) AS dr, CAST(ceil((x1 - x0) / 0.5) AS INT) AS w, CAST(ceil((y1 - y0) / 0.5) AS INT) AS h FROM hx, hw)"""
+_ON = """g AS (SELECT "row" + dr AS "row", col + dc AS col, k, value FROM tl JOIN off USING (ord) WHERE "row" + dr BETWEEN 0 AND h - 1 AND col + dc BETWEEN 0 AND w - 1)"""
+
+
+@query(f"""WITH {TL}, {_ROUND}, {_ON} SELECT "row", col, round(avg(value), 4) AS value, count(*) AS covering FROM g GROUP BY ALL""")
+def mosaic_offsets(spark, sf_dir):
+    """RST5-6, PRJ23, SNK11: tiles of unlike origins on one lattice, offsets rounded half-even."""
+    on = lattice.on_lattice(V.placed_tiles(spark, sf_dir), V.headers(spark), ["tile"], [])
+    # Four digits: halves of values of six digits would lie right between two roundings.
+    return on.groupBy("row", "col").agg(F.round(raster.combined(F.col("value"), F.col("ord"), "mean"), 4).alias("value"), F.count(F.lit(1)).alias("covering"))
+
+
+@query(f"""WITH {TL}, {_TRUNC}, {_ON} SELECT "row", col, round(arg_max(value, k) FILTER (WHERE value IS NOT NULL), 6) AS value FROM g GROUP BY ALL""")
+def mosaic_trunc(spark, sf_dir):
+    """RST5, PRJ24: offsets cut toward zero, sizes rounded up; the last tile wins."""
+    return rounded(lattice.mosaic(V.placed_tiles(spark, sf_dir), V.headers(spark), ["tile"], [], ["value"], "last", "trunc"), "value")
+
+
+@query(f"""WITH {_HD}, s AS (SELECT ord AS tile, 10 + round_even((ox - 10) / 0.5, 0) * 0.5 AS x, 50 + round_even((oy - 50) / -0.5, 0) * -0.5 AS y FROM hx) SELECT tile, round(x, 6) AS x, round(y, 6) AS y FROM s""")
+def lattice_snap(spark, sf_dir):
+    """PRJ25: origins drawn to the nearest node of the first tile's lattice."""
+    return lattice.snapped(V.headers(spark)).select("tile", r6(F.col("gt.origin_x")).alias("x"), r6(F.col("gt.origin_y")).alias("y"))
+
+
+@query(f"""WITH {TL}, {_HD}, sn AS (SELECT ord, k, 10 + round_even((ox - 10) / 0.5, 0) * 0.5 AS ox, 50 + round_even((oy - 50) / -0.5, 0) * -0.5 AS oy FROM hx), sw AS (SELECT min(ox) AS x0, max(oy) AS y1, max(ox + 5.0) AS x1, min(oy - 50.5) AS y0 FROM sn),
+off AS (SELECT ord, k, CAST(round_even((ox - x0) / 0.5, 0) AS INT) AS dc, CAST(round_even((oy - y1) / -0.5, 0) AS INT) AS dr, CAST(round_even((x1 - x0) / 0.5, 0) AS INT) AS w, CAST(round_even((y1 - y0) / 0.5, 0) AS INT) AS h FROM sn, sw), {_ON},
+c AS (SELECT *, CASE WHEN value > 8 THEN round(value * 2, 6) END AS two FROM g)
+SELECT "row", col, arg_min(struct_pack(a := value, b := two), k) FILTER (WHERE value IS NOT NULL OR two IS NOT NULL).a AS one, arg_min(struct_pack(a := value, b := two), k) FILTER (WHERE value IS NOT NULL OR two IS NOT NULL).b AS two FROM c GROUP BY ALL""")
+def canvas_offsets(spark, sf_dir):
+    """RST7, AGG18, PRJ25: a canvas of tiles of unlike origins, snapped to one lattice."""
+    c = V.placed_tiles(spark, sf_dir).withColumn("two", F.when(F.col("value") > 8, F.round(F.col("value") * 2, 6))).withColumnRenamed("value", "one")
+    return lattice.canvas(c, V.headers(spark), ["tile"], ["one", "two"])
+
+
+_WARPED = f"""{TL}, m AS (SELECT "row" AS r, col AS c, avg(value) AS v FROM tl GROUP BY ALL), t AS (SELECT a.range AS "row", b.range AS col FROM range(7) a, range(6) b),
+s AS (SELECT *, ((49.8 + ("row" + 0.5) * -0.7) - 50) / -0.5 - 0.5 AS sr, ((10.3 + (col + 0.5) * 0.8) - 10) / 0.5 - 0.5 AS sc FROM t)"""
+_SOURCE, _TARGET = lattice.Profile(10, 101, 10.0, 50.0, 0.5, -0.5, "EPSG:4326"), lattice.Profile(6, 7, 10.3, 49.8, 0.8, -0.7, "EPSG:4326")
+
+
+@query(f"""WITH {_WARPED}, k AS (SELECT "row", col, CAST(floor(sr) AS BIGINT) + i AS r, CAST(floor(sc) AS BIGINT) + j AS c, abs((1 - i) - (sr - floor(sr))) * abs((1 - j) - (sc - floor(sc))) AS w FROM s, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
+SELECT "row", col, round(sum(v * w) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), 6) AS value FROM k LEFT JOIN m USING (r, c) GROUP BY ALL""")
+def resample_geo(spark, sf_dir):
+    """RST1-2, RST4: a scene on a reference's lattice of other origin and pixel size."""
+    return rounded(lattice.warp(raster.mosaic(V.tiles(spark, sf_dir), ["row", "col"]), ["value"], _SOURCE, _TARGET), "value")
+
+
+@query(f"""WITH {_WARPED}, {MK}, u AS (SELECT "row", col, CAST(floor(((49.8 + ("row" + 0.5) * -0.7) - 50.4) / -1.1) AS BIGINT) AS r, CAST(floor(((10.3 + (col + 0.5) * 0.8) - 9.7) / 1.1) AS BIGINT) AS c FROM t),
+n AS (SELECT u."row", u.col, coalesce(k.mask, 0) AS mask FROM u LEFT JOIN mk k ON k."row" = u.r AND k.col = u.c), f AS (SELECT "row", col, ("row" * 6 + col) / 50.0 AS fx FROM t)
+SELECT "row", col, round(fx * mask, 6) AS fx FROM f JOIN n USING ("row", col)""")
+def mask_nearest(spark, sf_dir):
+    """RST3, JN4: a mask of another lattice drawn to the cells' by the nearest cell; outside it 0."""
+    cells = _TARGET.cells(spark).withColumn("fx", (F.col("row") * 6 + F.col("col")) / 50.0)
+    return rounded(lattice.masked(cells, "fx", _TARGET, V.mask(spark, sf_dir), lattice.Profile(10, 100, 9.7, 50.4, 1.1, -1.1, "EPSG:4326")), "fx")
+
+
+@query("""SELECT * FROM (VALUES ('degrees', 30.0, 19, 187, 0.0002695, 5.0 / 19), ('metres', 30.0, 17, 17, 30.0, 500.0 / 17)) t(profile, metres, width, height, unit, px_w)""".replace("19, 187, 0.0002695, 5.0 / 19", "18553, 187389, 0.000269, 5.0 / 18553"))
+def target_profile(spark, sf_dir):
+    """PRJ26, RST4: shape and pixel size of a target in metres, in a geographic and a projected system."""
+    rows = []
+    for name, p in (("degrees", _SOURCE), ("metres", lattice.Profile(50, 50, 0.0, 0.0, 10.0, -10.0, "EPSG:32649"))):
+        t = p.in_metres(30.0)
+        rows.append((name, 30.0, t.width, t.height, round(30.0 / 111320.0, 6) if name == "degrees" else 30.0, t.px_w))
+    return rounded(spark.createDataFrame(rows, "profile string, metres double, width int, height int, unit double, px_w double"), "px_w")
+
+
+@query("""WITH p AS (SELECT s_suppkey, s_suppkey % 360 - 180 + 0.25 AS x, s_suppkey % 160 - 80 + 0.5 AS y FROM supplier), m AS (SELECT *, x * 111319.49079327358 AS mx, ln(tan((y + 90) * pi() / 360)) * 6378137 AS my FROM p)
+SELECT s_suppkey, round(mx, 3) AS mx, round(my, 3) AS my, round(x, 6) AS x, round(y, 6) AS y FROM m""")
+def crs_points(spark, sf_dir):
+    """PRJ27: points to another reference system and back."""
+    p = V.table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 360 - 180 + 0.25).alias("x"), (F.col("s_suppkey") % 160 - 80 + 0.5).alias("y"))
+    mx, my = lattice.transform(F.col("x"), F.col("y"), "EPSG:4326", "EPSG:3857")
+    m = p.withColumn("mx", mx).withColumn("my", my)
+    x, y = lattice.transform(F.col("mx"), F.col("my"), "EPSG:3857", "EPSG:4326")
+    return m.select("s_suppkey", F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"), r6(x).alias("x"), r6(y).alias("y"))
+
+
 # ------------------------------------------------------------------ features
 
 _EXTRA = f"""ex AS (SELECT {KEY}, CASE WHEN count(x) >= 2 THEN max(CAST(x AS DOUBLE)) - min(CAST(x AS DOUBLE)) END AS db_range, avg(CAST(x AS DOUBLE)) FILTER (WHERE k - 1 >= floor(0.9::DOUBLE * n)) AS top10_mean FROM stats GROUP BY {KEY})"""
@@ -543,12 +622,38 @@ def focal_loss(spark, sf_dir):
     return s.agg(r6(F.avg(metrics.focal_loss(F.col("logit"), F.col("label"), 2.0, 0.25))).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH {SC}, g AS (SELECT DISTINCT grid_id FROM sc), o AS (SELECT grid_id, row_number() OVER (ORDER BY md5(CAST(grid_id AS VARCHAR) || ':42'), grid_id) AS place, count(*) OVER () AS n FROM g)
+SELECT grid_id, CASE WHEN place <= CASE WHEN n >= 2 THEN greatest(1, CAST(floor(n * 0.2) AS INT)) ELSE 0 END THEN 'validation' ELSE 'training' END AS part FROM o""")
 def grid_split(spark, sf_dir):
-    """ML5-6: grids for validation and training."""
+    """ML5: grids for validation and training."""
     return tasks.grid_split(V.scenes(spark, sf_dir))
 
 
+@query("SELECT vec_id, CASE WHEN CAST('0x' || md5(CAST(vec_id AS VARCHAR) || ':42')[1:8] AS BIGINT) / 4294967296.0 < 0.2 THEN 'validation' ELSE 'training' END AS part FROM embeddings")
+def row_split(spark, sf_dir):
+    """ML6: rows for validation and training."""
+    return tasks.row_split(V.table(spark, sf_dir, "embeddings").select("vec_id"), ["vec_id"])
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id BETWEEN 10 AND 19 OR vec_id BETWEEN 100 AND 139")
+def range_read(spark, sf_dir):
+    """SRC6: rows of some grids by their boundaries, as a filter on the scan."""
+    return tasks.within(V.table(spark, sf_dir, "embeddings"), "vec_id", [(10, 20), (100, 140)]).select("vec_id", "label")
+
+
+@query(f"""WITH {SC}, d AS (SELECT min(scene_date) AS day FROM sc WHERE season = 'summer') SELECT season, grid_id, min(path) AS path, CAST(scene_date AS VARCHAR) AS scene_date FROM sc WHERE scene_date = DATE '1998-07-01' GROUP BY season, grid_id, scene_date""")
+def scene_on_date(spark, sf_dir):
+    """FLT7: the scenes of a reference day."""
+    return tasks.on_date(V.scenes(spark, sf_dir), "1998-07-01").withColumn("scene_date", F.col("scene_date").cast("string"))
+
+
+@query("SELECT DISTINCT 'grid_' || CAST(l_suppkey % 12 + 1 AS VARCHAR) AS folder FROM lineitem")
+def grid_names(spark, sf_dir):
+    """SRC19: names of grids by their letters."""
+    f = V.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("grid_"), (F.col("l_suppkey") % 12 + 1).cast("string")).alias("folder"))
+    return tasks.grid_names(f.unionByName(f.select(F.concat(F.lit("x"), "folder").alias("folder"))))
+
+
 @query("SELECT label AS grid, min(vec_id) AS start, max(vec_id) + 1 AS stop FROM embeddings GROUP BY label")
 def grid_boundaries(spark, sf_dir):
     """AGG27, SRC6: first and last row of a grid."""

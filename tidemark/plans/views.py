@@ -52,6 +52,17 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("value", F.when(F.col("value") <= 16, F.col("value")))
 
 
+def headers(spark: SparkSession) -> DataFrame:
+    """Headers of the tiles: origins that aren't whole pixels apart, one of them half a pixel."""
+    rows = [(flag, k, 10, 101, (10.0 + 1.25 * k, 0.5, 0.0, 50.0 - 0.74 * k, 0.0, -0.5)) for k, flag in enumerate("ANR")]
+    return spark.createDataFrame(rows, "tile string, ord int, width int, height int, gt struct<origin_x: double, px_w: double, rot_x: double, origin_y: double, rot_y: double, px_h: double>")
+
+
+def placed_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tiles(), by the names that headers() has."""
+    return tiles(spark, sf_dir).withColumnRenamed("ord", "tile")
+
+
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").filter("s_suppkey % 7 <> 3").select(F.expr("s_suppkey div 10").alias("row"), (F.col("s_suppkey") % 10).alias("col"), (F.col("s_acctbal") > 5000).cast("int").alias("mask"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-#: First and last month of each season, in the order in which seasons are listed.
+#: The months of each season, in the order in which seasons are listed.
 SEASONS = {"spring": (3, 4, 5), "summer": (6, 7, 8), "autumn": (9, 10, 11), "winter": (12, 1, 2)}
 SEASON_OF_MONTH = {m: s for s, months in SEASONS.items() for m in months}
 
