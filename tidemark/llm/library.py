@@ -36,7 +36,7 @@ class Encoder:
     """keeps_blank: whether a blank belongs to the word after it. size: words remembered in each of two generations, as
     Arrow arrays. longest: bytes of a word that is remembered."""
 
-    def __init__(self, path: str, keeps_blank: bool, size: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, keeps_blank: bool, size: int = 250_000, longest: int = 64):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -142,7 +142,10 @@ class Encoder:
         ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1]
         cuts, data = ends[lists.offsets.to_numpy()].tolist(), ids.buffers()[2]
         skip = len(self.newline)
-        return [data[a + skip : b].to_pybytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        out = [data[a + skip : b].to_pybytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        del lists, coded, ids, ends, data
+        pa.default_memory_pool().release_unused()
+        return out
 
 
 def _binary(ids: np.ndarray, sizes: np.ndarray) -> pa.LargeBinaryArray:
