@@ -407,9 +407,9 @@ def test_substrings_believe_words_not_hashes(spark, monkeypatch):
     done = [x for b in rows.batches() for x in b.to_pylist() if x["r"] is None and x["n"] and x["n"] > 0]
     assert [(x["row"], x["first"], x["n"]) for x in done] == [(2, 0, 1)]  # the one window that the first of all equals
     words = [b"w%d" % i for i in range(20)]
-    wrong = [{"first": 0, "n": 2, "digest": substrings._digest([b"x", *words[1:]], 0, 2, 13)}]
+    wrong = [(0, 2, substrings._digest([b"x", *words[1:]], 0, 2, 13))]
     assert substrings._kept(words, wrong, 13) == words
-    assert substrings._kept(words, [{"first": 2, "n": 1, "digest": substrings._digest(words, 2, 1, 13)}], 13) == words[:2] + words[15:]
+    assert substrings._kept(words, [(2, 1, substrings._digest(words, 2, 1, 13))], 13) == words[:2] + words[15:]
 
 
 def test_substrings_of_rows_with_one_id(spark):

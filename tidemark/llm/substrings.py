@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b, sha256
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from tidemark.llm import base
 
 _SECOND = 0xD6E8FEB86659FD93
 _STEP = np.uint64(0xA0761D6478BD642F)
-_FOUND = "key long, r long, doc long, row long, first long, n long, hot boolean"
+_FOUND = "place long, r long, doc long, row long, first long, n long, key long"
 #: What becomes of a span: it counts, its words are to be compared, it is to be taken apart, its minimizer is hot.
 SETTLED, CLAIMED, APART, HOT = range(4)
 #: Bytes of text that a worker looks at together.
@@ -43,16 +44,15 @@ _SAMPLE, _HOT_SHARE, _HOT_ROWS = 20_000, 1 / 400, 20
 
 @dataclass
 class _Rows:
-    """Rows of _FOUND in the making. r null: settled here, to take apart (n < 0), or a minimizer that branches here (no
-    doc)."""
+    """Rows of _FOUND in the making: place is the task's key. r null: settled here, to take apart (n < 0), or a minimizer
+    that branches here (no doc). key: the minimizer of a hot path, whose place is its own."""
 
     parts: list = field(default_factory=list)
 
-    def add(self, key, r, doc, row, first, n, hot: bool = False) -> None:
-        cols = [key, r, doc, row, first, n]
-        size = len(key)
-        cols = [pa.nulls(size, pa.int64()) if c is None else pa.array(np.ascontiguousarray(c).view(np.int64)) for c in cols]
-        self.parts.append(pa.record_batch([*cols, pa.repeat(pa.scalar(hot), size)], ["key", "r", "doc", "row", "first", "n", "hot"]))
+    def add(self, place, r, doc, row, first, n, key=None) -> None:
+        size = len(place)
+        cols = [pa.nulls(size, pa.int64()) if c is None else pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (place, r, doc, row, first, n, key)]
+        self.parts.append(pa.record_batch(cols, ["place", "r", "doc", "row", "first", "n", "key"]))
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         yield from (p for p in self.parts if p.num_rows)
@@ -93,7 +93,10 @@ class _Chunk:
         self.pos = np.arange(count.sum()) - np.repeat(self.first, count)
         self.at = self.pos + ends[:-1].astype(np.int64)[self.of]
         self.one = base.windows(self.words, k)[self.at] if len(self.at) else self.words[:0]
-        self.two = base.windows(self.words, k, _SECOND)[self.at] if len(self.at) else self.words[:0]
+
+    def seconds(self, which: np.ndarray) -> np.ndarray:
+        """Another hash of some windows."""
+        return base.windows(self.words, self.k, _SECOND)[self.at[which]] if len(which) else self.words[:0]
 
     def equal(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Whether n windows from each of a have the words of those from b."""
@@ -118,14 +121,15 @@ class _Chunk:
 
     def edges(self, rows: _Rows, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows for single windows; returns those that repeat a smaller document of this chunk."""
-        order, (_, same, _) = _sorted_groups(self.one[which], self.two[which], self.docs[self.of[which]])
-        which = which[order]
+        two = self.seconds(which)
+        order, (_, same, _) = _sorted_groups(self.one[which], two, self.docs[self.of[which]])
+        which, two = which[order], two[order]
         begin = np.flatnonzero(same)
         source = np.repeat(which[begin], np.diff(np.append(begin, len(which))))
         late = self._late(which, source, np.ones(len(which), np.int64))
         rest = which[~late]
         of = self.of[rest]
-        rows.add(self.one[rest], self.two[rest], self.docs[of], self.ids[of], self.pos[rest], np.ones(len(rest), np.int64))
+        rows.add(self.one[rest], two[~late], self.docs[of], self.ids[of], self.pos[rest], np.ones(len(rest), np.int64))
         return which[late], np.ones(late.sum(), np.int64)
 
     def _late(self, which: np.ndarray, source: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -161,7 +165,7 @@ class _Chunk:
             return
         with np.errstate(over="ignore"):
             nth = (np.arange(len(self.at)) - np.repeat(start, length)).astype(np.uint64)
-            content = np.add.reduceat(base.mixed(self.one + nth * _STEP) ^ self.two, start)
+            content = np.add.reduceat(base.mixed(self.one + nth * _STEP), start)
         order, (by_key, by_content, _) = _sorted_groups(key, content, self.docs[self.of[start]])
         key, content, start, length = key[order], content[order], start[order], length[order]
         of = self.of[start]
@@ -174,8 +178,9 @@ class _Chunk:
         often = np.isin(key[groups], hot, kind="sort") if len(hot) else np.zeros(len(groups), bool)
         branches = ~often & (np.add.reduceat(by_content, groups, dtype=np.int64) > 1) & (np.minimum.reduceat(doc, groups) < np.maximum.reduceat(doc, groups))
         apart, known = np.repeat(branches, sizes), np.repeat(often, sizes)
-        for which, is_hot in ((~late & ~apart & ~known, False), (~late & known, True)):
-            rows.add(key[which], content[which], doc[which], row[which], pos[which], length[which], is_hot)
+        plain, spread = ~late & ~apart & ~known, ~late & known
+        rows.add(key[plain], content[plain], doc[plain], row[plain], pos[plain], length[plain])
+        rows.add(self._apart(row[spread], pos[spread]), content[spread], doc[spread], row[spread], pos[spread], length[spread], key[spread])
         rows.add(key[groups[branches]], None, None, None, None, None)
         split = ~late & apart
         rows.add(self._apart(row[split], pos[split]), None, doc[split], row[split], pos[split], -length[split])
@@ -209,14 +214,13 @@ def _hot(whole: DataFrame, k: int, m: int) -> np.ndarray:
 def _met(rows: DataFrame) -> DataFrame:
     """kind, row, first, n, source_row, source_first of spans that mean something after all paths met; of hot ones
     key, r and doc too."""
-    place = F.when(F.col("hot"), F.xxhash64("key", "r", "row", "first")).otherwise(F.col("key"))
     same, all_ = Window.partitionBy("place", "r"), Window.partitionBy("place")
     # Sorted once, by (place, r). A worker sends one row for a content and chunk, and hot keys are spread.
-    out = rows.withColumn("place", place).repartition("place").withColumn("least", F.min("doc").over(same))
+    out = rows.repartition("place").withColumn("least", F.min("doc").over(same))
     out = out.withColumn("source_row", F.min_by("row", "doc").over(same)).withColumn("source_first", F.min_by("first", "doc").over(same))
     out = out.withColumn("branch", (F.min("doc").over(all_) < F.max("doc").over(all_)) & (F.min("r").over(all_) < F.max("r").over(all_)))
     out = out.withColumn("signal", F.max(F.col("doc").isNull()).over(all_)).filter("doc IS NOT NULL")
-    kind = F.when(F.col("hot"), HOT).when(F.col("r").isNull(), F.when(F.col("n") > 0, SETTLED).otherwise(APART))
+    kind = F.when(F.col("key").isNotNull(), HOT).when(F.col("r").isNull(), F.when(F.col("n") > 0, SETTLED).otherwise(APART))
     kind = kind.when(F.col("doc") > F.col("least"), CLAIMED).when(F.col("signal") | F.col("branch"), APART)
     out = out.withColumn("kind", kind).filter("kind IS NOT NULL").withColumn("n", F.abs("n"))
     only = lambda kind, *names: [F.when(F.col("kind") == kind, F.col(c)).alias(c) for c in names]
@@ -226,14 +230,14 @@ def _met(rows: DataFrame) -> DataFrame:
 _SPAN = ["row", "first", "n", "source_row", "source_first"]
 
 
-def _joined(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows(key, r, doc, row, first, n): spans of _SPAN that repeat a smaller document's with the same (key, r), and
-    the rows that are the smallest of theirs. Minima are combined before the shuffle, hot keys looked up apart."""
+def _joined(rows: DataFrame) -> DataFrame:
+    """Of rows(key, r, doc, row, first, n): spans of _SPAN that repeat a smaller document's with the same (key, r).
+    Minima are combined before the shuffle, hot keys looked up apart."""
     least = rows.groupBy("key", "r").agg(F.min(F.struct("doc", "row", "first")).alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("size"))
     least = base.saved(least.filter(F.col("most") > F.col("least.doc")).select("key", "r", "least", "size"), "least")
     met = base.looked_up(rows, least, ["key", "r"], "size", rows.count())
     late = met.filter(F.col("doc") > F.col("least.doc"))
-    return late.select("row", "first", "n", F.col("least.row").alias("source_row"), F.col("least.first").alias("source_first")), least
+    return late.select("row", "first", "n", F.col("least.row").alias("source_row"), F.col("least.first").alias("source_first"))
 
 
 def repeated_spans(rows: DataFrame, k: int = 13, m: int = 4) -> DataFrame:
@@ -254,9 +258,8 @@ def repeated_spans(rows: DataFrame, k: int = 13, m: int = 4) -> DataFrame:
     met = base.saved(_met(whole.mapInArrow(scan, _FOUND)), "met")
     base.release(spark)
     often = met.filter(F.col("kind") == HOT).select("key", "r", "doc", "row", "first", "n")
-    claimed, _ = _joined(often)
     # A hot path that repeats one of a smaller document is settled as a whole; any other is taken apart.
-    claimed = base.saved(claimed, "claimed")
+    claimed = base.saved(_joined(often), "claimed")
     rest = often.select("row", "first", "n").join(claimed.select("row", "first"), ["row", "first"], "left_anti")
     apart = met.filter(F.col("kind") == APART).select("row", "first", "n").unionByName(rest)
     apart = apart.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
@@ -275,10 +278,12 @@ def repeated_spans(rows: DataFrame, k: int = 13, m: int = 4) -> DataFrame:
                 yield from found.batches()
 
     single = base.saved(whole.join(apart.hint("merge"), "row").mapInArrow(edges, _FOUND), "edges")
-    more, _ = _joined(single.filter("r IS NOT NULL").select("key", "r", "doc", "row", "first", "n"))
+    more = _joined(single.filter("r IS NOT NULL").select(F.col("place").alias("key"), "r", "doc", "row", "first", "n"))
     to_check = met.filter(F.col("kind") == CLAIMED).select(*_SPAN).unionByName(claimed).unionByName(more)
     to_check = base.saved(to_check, "claims")
     sure = met.filter(F.col("kind") == SETTLED).select("row", "first", "n").unionByName(single.filter("r IS NULL").select("row", "first", "n"))
+    sure = base.saved(sure, "sure")
+    base.forget(met, single, claimed)
     base.release(spark)
 
     place = ["source_row", "source_first", "n"]
@@ -289,10 +294,12 @@ def repeated_spans(rows: DataFrame, k: int = 13, m: int = 4) -> DataFrame:
         for batch in batches:
             for part in base.sliced(batch, _TOGETHER):
                 flat, digests = part.column("spans").flatten(), []
-                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                sizes = np.asarray(part.column("spans").value_lengths())
+                of = iter(zip(flat.field("source_first").to_pylist(), flat.field("n").to_pylist(), strict=True))
+                for text, size in zip(part.column("text").to_pylist(), sizes.tolist(), strict=True):
                     words = text.encode().split()
-                    digests += [_digest(words, s["source_first"], s["n"], k) for s in spans]
-                rows = part.column("row").take(pa.array(np.repeat(np.arange(part.num_rows), np.asarray(part.column("spans").value_lengths()))))
+                    digests += [_digest(words, first, n, k) for first, n in islice(of, size)]
+                rows = part.column("row").take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
                 yield pa.record_batch([rows, flat.field("source_first"), flat.field("n"), flat.field("size"), pa.array(digests, pa.binary())], [*place, "size", "digest"])
 
     read_there = whole.join(asked.hint("merge"), "row").mapInArrow(read, "source_row long, source_first long, n long, size long, digest binary")
@@ -305,16 +312,25 @@ def _digest(words: list[bytes], first: int, n: int, k: int) -> bytes:
     return blake2b(b" ".join(words[first : first + n + k - 1]), digest_size=16).digest()
 
 
-def _kept(words: list[bytes], spans: list[dict] | None, k: int) -> list[bytes]:
-    """Words that no span covers; spans whose words aren't those of their source don't count."""
+def _kept(words: list[bytes], spans: list[tuple[int, int, bytes | None]], k: int) -> list[bytes]:
+    """Words that no span (first, n, digest) covers; spans whose words aren't those of their source don't count."""
     if not spans:
         return words
-    edge = np.zeros(len(words) + 1, np.int64)
-    for s in spans:
-        if s["digest"] is None or s["digest"] == _digest(words, s["first"], s["n"], k):
-            edge[s["first"]] += 1
-            edge[s["first"] + s["n"] + k - 1] -= 1
-    return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+    edge = [0] * (len(words) + 1)
+    for first, n, digest in spans:
+        if digest is None or digest == _digest(words, first, n, k):
+            edge[first] += 1
+            edge[first + n + k - 1] -= 1
+    return [w for w, covered in zip(words, accumulate(edge), strict=False) if not covered]
+
+
+def _spans_of(column: pa.ListArray) -> list[list[tuple]]:
+    """Spans of each row, as tuples."""
+    flat = column.flatten()
+    each = list(zip(*(flat.field(n).to_pylist() for n in ("first", "n", "digest")), strict=True))
+    sizes = np.asarray(pc.fill_null(column.value_lengths(), 0))
+    ends = np.cumsum(sizes).tolist()
+    return [each[b - n : b] for b, n in zip(ends, sizes.tolist(), strict=True)]
 
 
 def _with_spans(docs: DataFrame, k: int, columns: list[str] | None) -> tuple[DataFrame, str]:
@@ -335,7 +351,7 @@ def _removed(docs: DataFrame, k: int, result: str, make) -> DataFrame:
         for batch in batches:
             for part in base.sliced(batch, _TOGETHER):
                 out = []
-                for text, found in zip(part.column("text").to_pylist(), part.column(spans).to_pylist(), strict=True):
+                for text, found in zip(part.column("text").to_pylist(), _spans_of(part.column(spans)), strict=True):
                     words = text.encode().split()
                     keep = _kept(words, found, k)
                     out.append((len(words), len(words) - len(keep), make(text, words, keep)))
@@ -367,7 +383,7 @@ def without_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
         for batch in batches:
             for part in base.sliced(batch, _TOGETHER):
                 texts = part.column("text").to_pylist()
-                for i, found in enumerate(part.column(spans).to_pylist()):
+                for i, found in enumerate(_spans_of(part.column(spans))):
                     if found:
                         words = texts[i].encode().split()
                         keep = _kept(words, found, k)

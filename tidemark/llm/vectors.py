@@ -144,7 +144,7 @@ def near_vectors(rows: DataFrame, tables: Tables | None = None) -> DataFrame:
     many, each = tables.shape(classes.count())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             raw = [np.asarray(v, kind) for v in batch.column("vector").to_pylist()]
             for n in {len(x) for x in raw}:
                 of = [i for i, x in enumerate(raw) if len(x) == n]
