@@ -8,7 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -63,7 +63,14 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not re.match(r"local(\[[^]]*\])?$", spark.conf.get("spark.master", "local")):
             raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all machines share")
         root = f"file://{_own_folder()}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _SCOPES:
+        made.append(path)
+    return path
+
+
+#: Paths handed out while settled() waits for its frame.
+_SCOPES: list[list[str]] = []
 
 
 @cache
@@ -82,13 +89,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make(), saved; whatever else was written to the scratch folder meanwhile goes, as nothing reads it any more."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        out = saved(make(), name)
+    finally:
+        _SCOPES[:] = [x for x in _SCOPES if x is not made]
+    _delete(spark, made[:-1])  # the last is out's
+    return out
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete the files of frames that saved() returned and that nothing reads any more."""
     for df in frames:
-        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(hadoop).delete(p, True)
+        _delete(df.sparkSession, {f.rpartition("/")[0] for f in df.inputFiles()})
+
+
+def _delete(spark: SparkSession, paths) -> None:
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(hadoop).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:

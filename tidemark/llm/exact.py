@@ -96,8 +96,12 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that stay: one of each text, that of the largest doc_id; of rows that repeat
     with it one. Null doc_ids are smaller than all, null texts are empty; no column of docs can clash."""
     rows, row = base.numbered(docs)
-    digests = base.saved(rows.select(F.col(row).alias("row"), "doc_id", digest().alias("digest")), "digests")
-    return rows.join(exact_rows(digests).filter("stays").select(F.col("row").alias(row)), row, "left_semi").select(docs.columns)
+
+    def decided() -> DataFrame:
+        digests = base.saved(rows.select(F.col(row).alias("row"), "doc_id", digest().alias("digest")), "digests")
+        return exact_rows(digests).filter("stays").select(F.col("row").alias(row))
+
+    return rows.join(base.settled(docs.sparkSession, decided, "stays"), row, "left_semi").select(docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

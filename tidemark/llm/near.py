@@ -233,12 +233,8 @@ class Forest:
         return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "u long, v long")
 
 
-def near_rows(rows: DataFrame, forest: Forest) -> DataFrame:
-    """row, doc_id, n_shingles, component_id, kept, stays of rows(row, doc_id, text), which are read twice.
-
-    stays holds for one row of each component: that of the smallest doc_id (null ones last), of equal ones that of the
-    smallest row; and for rows without shingles."""
-    sketch = base.saved(forest.sketches(rows), "sketches")
+def _classes(rows: DataFrame, sketch: DataFrame, forest: Forest) -> DataFrame:
+    """key, size, component_id, first (the row that stays) of each class of equal sets."""
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
     classes = sketch.filter("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("rep"), first_row, F.count(F.lit(1)).alias("size"))
     classes = base.saved(classes, "classes")
@@ -269,13 +265,22 @@ def near_rows(rows: DataFrame, forest: Forest) -> DataFrame:
     more = base.saved(forest.across(dense, found, sets), "links")
     if not more.isEmpty():
         found = base.saved(components(links.union(more)), "components")
-    base.forget(sets)
 
     classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     classes = base.saved(classes.select("key", "size", "component", "least"), "classes")
     whole = classes.groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n"))
     classes = base.looked_up(classes.drop("least"), base.saved(whole, "whole"), "component", "n", classes.count())
-    classes = base.saved(classes.select("key", "size", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first")), "classes")
+    return classes.select("key", "size", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first"))
+
+
+def near_rows(rows: DataFrame, forest: Forest) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept, stays of rows(row, doc_id, text), which are read twice.
+
+    stays holds for one row of each component: that of the smallest doc_id (null ones last), of equal ones that of the
+    smallest row; and for rows without shingles."""
+    sketch = base.saved(forest.sketches(rows), "sketches")
+    classes = base.settled(rows.sparkSession, lambda: _classes(rows, sketch, forest), "classes")
+    sketch = sketch.select("key", "row", "doc_id", "n_shingles")
     out = base.looked_up(sketch.filter("key IS NOT NULL").select("key", "row", "doc_id", "n_shingles"), classes, "key", "size", sketch.count())
     out = out.select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("first")).alias("stays"))
     none = sketch.filter("key IS NULL").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
@@ -307,7 +312,7 @@ def without_near(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     """The rows of docs, with all columns, that stay: one of each component (see near_rows()), and all rows without
     shingles; no column of docs can clash."""
     rows, row = base.numbered(docs)
-    stays = near_rows(base.row_texts(rows, row), forest or Forest()).filter("stays").select(F.col("row").alias(row))
+    stays = base.settled(docs.sparkSession, lambda: near_rows(base.row_texts(rows, row), forest or Forest()).filter("stays").select(F.col("row").alias(row)), "stays")
     return rows.join(stays, row, "left_semi").select(docs.columns)
 
 
