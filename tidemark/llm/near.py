@@ -263,6 +263,7 @@ def _classes(rows: DataFrame, sketch: DataFrame, forest: Forest) -> DataFrame:
         links = links.union(more)
         found = base.saved(components(links), "components")
     more = base.saved(forest.across(dense, found, sets), "links")
+    base.forget(sets)
     if not more.isEmpty():
         found = base.saved(components(links.union(more)), "components")
 
