@@ -242,8 +242,9 @@ def _joined(rows: DataFrame) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, k: int = 13, m: int = 4) -> DataFrame:
-    """row, spans of rows(row, doc_id, text): windows of k words (first, n) of a row that also start in a row with a
-    smaller doc_id, with a digest of the source's words (null: compared already). Spans may overlap.
+    """row, spans of rows(row, doc_id, text): windows of k words of a row that also start in a row with a smaller doc_id,
+    as (n, digest, firsts): the first windows of all spans of n windows whose source's words have that digest (null:
+    compared already). Spans may overlap.
 
     Rows with a null doc_id neither repeat nor are repeated; rows of one doc_id don't repeat each other."""
     spark, whole = rows.sparkSession, rows.filter("doc_id IS NOT NULL")
@@ -306,7 +307,9 @@ def repeated_spans(rows: DataFrame, k: int = 13, m: int = 4) -> DataFrame:
     read_there = whole.join(asked.hint("merge"), "row").mapInArrow(read, "source_row long, source_first long, n long, size long, digest binary")
     checked = base.looked_up(to_check, base.saved(read_there, "sources"), place, "size", to_check.count())
     spans = checked.select("row", "first", "n", "digest").unionByName(sure.withColumn("digest", F.lit(None).cast("binary")))
-    return spans.groupBy("row").agg(F.collect_list(F.struct("first", "n", "digest")).alias("spans"))
+    # Moved once, by row; a passage that a row repeats over and over costs one number each time.
+    alike = spans.repartition("row").groupBy("row", "n", "digest").agg(F.collect_list("first").alias("firsts"))
+    return alike.groupBy("row").agg(F.collect_list(F.struct("n", "digest", "firsts")).alias("spans"))
 
 
 def _digest(words: list[bytes], first: int, n: int, k: int) -> bytes:
@@ -325,13 +328,13 @@ def _kept(words: list[bytes], spans: list[tuple[int, int, bytes | None]], k: int
     return [w for w, covered in zip(words, accumulate(edge), strict=False) if not covered]
 
 
-def _spans_of(column: pa.ListArray) -> list[list[tuple]]:
-    """Spans of each row, as tuples."""
+def _spans_of(column: pa.ListArray) -> Iterator[list[tuple[int, int, bytes | None]]]:
+    """Spans of each row, one row after another, as tuples (first, n, digest)."""
     flat = column.flatten()
-    each = list(zip(*(flat.field(n).to_pylist() for n in ("first", "n", "digest")), strict=True))
-    sizes = np.asarray(pc.fill_null(column.value_lengths(), 0))
-    ends = np.cumsum(sizes).tolist()
-    return [each[b - n : b] for b, n in zip(ends, sizes.tolist(), strict=True)]
+    alike = zip(flat.field("n").to_pylist(), flat.field("digest").to_pylist(), np.asarray(flat.field("firsts").value_lengths()).tolist(), strict=True)
+    firsts = iter(flat.field("firsts").flatten().to_numpy())
+    for size in pc.fill_null(column.value_lengths(), 0).to_pylist():
+        yield [(first, n, digest) for n, digest, times in islice(alike, size) for first in map(int, islice(firsts, times))]
 
 
 def _with_spans(docs: DataFrame, k: int, columns: list[str] | None) -> tuple[DataFrame, str]:
